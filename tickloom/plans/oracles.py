@@ -179,7 +179,7 @@ SELECT round((ij - ai * bj / al) / ((ai + bj) / 2 - ai * bj / al), 6) AS ari, ro
         "resample_4h": f"{H} SELECT symbol, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') AS timestamp, round(arg_min(open, i), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(\"close\", i), 6) AS \"close\", CAST(sum(volume) AS BIGINT) AS volume FROM b GROUP BY 1, 2",
         "technical_features": f"{H}, {TECH} SELECT symbol, i AS row_idx, round(ret, 6) AS returns, round(vol, 6) AS volatility, round(vr, 6) AS volume_ratio, round(rr, 6) AS range_ratio FROM te",
         "swing_points": f"{H}, {SWING} SELECT symbol, i AS row_idx, ts AS timestamp, kind, round(price, 6) AS price FROM pt",
-        "swing_vwap": f"{H}, {SWING} SELECT symbol, i AS row_idx, kind, round(vw, 4) AS vwap FROM pt",
+        "swing_vwap": f"{H}, {SWING} SELECT symbol, i AS row_idx, kind, round(vw + 1e-9, 6) AS vwap FROM pt",
         "volume_profile": f"""{H}, en AS (SELECT symbol, min(tp) AS lo, max(tp) AS hi FROM b GROUP BY 1), v AS (SELECT symbol, CAST(CASE WHEN hi > lo THEN least(10, floor((tp - lo) / (hi - lo) * 10) + 1) ELSE 1 END AS INTEGER) AS bin, CAST(sum(volume) AS BIGINT) AS volume FROM b JOIN en USING (symbol) GROUP BY 1, 2)
 SELECT symbol, bin, volume, round(volume / sum(volume) OVER (PARTITION BY symbol), 6) AS share, coalesce(sum(volume) OVER (PARTITION BY symbol ORDER BY volume DESC, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 10 < sum(volume) OVER (PARTITION BY symbol) * 7 AS is_key FROM v""",
         "market_alerts": f"""{H}, {TECH}, al AS (SELECT symbol, i, 'vwap_deviation' AS alert, ("close" - vw) / vw AS value FROM te WHERE abs(("close" - vw) / vw) > 0.5 UNION ALL SELECT symbol, i, 'volume_spike', vr FROM te WHERE abs(vr) > 2 UNION ALL SELECT symbol, i, 'price_move', ret FROM te WHERE abs(ret) > 3) SELECT symbol, i AS row_idx, alert, round(value, 6) AS value FROM al""",
