@@ -270,14 +270,13 @@ def joined(spans: list[Span]) -> str:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, examples: int, precision: float, full: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model(examples, precision))
+    trees, threshold = model(examples, precision)
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = kept.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     struct = lambda rows: pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in r] for r in rows], span)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, threshold = shared.value
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             found = spans_of(texts, trees, threshold)
