@@ -1,13 +1,12 @@
-"""Helpers shared by the corpus operators: reading, materialising, word splitting."""
+"""Helpers shared by the corpus operators: reading and word splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.plans.storage import materialise  # noqa: F401
+
 #: The white space that separates words, as a Java regex class: blank and U+0009 to U+000D.
 BLANKS = " \\t-\\r"
 
@@ -16,26 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and the master is
-    local, a temporary one. On a cluster without that setting this raises, as executors would not see a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/tickloom-checkpoints"
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once below the shared folder and read it back: cuts the lineage, survives the loss of executors and
-    pins down whatever depends on how the rows were dealt."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text (runs of anything but blanks) as an array; null and blank texts have none."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{BLANKS}]+|[{BLANKS}]+$", "")

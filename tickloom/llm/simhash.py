@@ -8,7 +8,7 @@ lies within that distance of x's home anchor: both stand in that anchor's group.
 compared with all members, on all 64 bits. So no link is lost, and none is reported that isn't one.
 
 A group never emits pairs: each hands on a spanning forest of its own links, at most one row a member. The forests are
-joined by alternating large-star and small-star rounds over written tables.
+joined by connected components over written tables.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import materialise
+from tickloom.operators.graph import components
 
 #: Fixed values of the binary Golay code: its length, and its generator polynomial
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -181,38 +182,6 @@ def anchor_links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the smallest node that it reaches.
-
-    Large-star and small-star rounds in turn until the links stay the same; each round is a written table. A node with
-    very many links is summed up before it is dealt, and Spark may split the join's large partitions.
-    """
-
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    now = materialise(ordered(links), "links")
-    was = state(now)
-    for _ in range(max_rounds):
-        if not was[0]:
-            break
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = materialise(ordered(small), "small")
-        if (is_ := state(now)) == was:
-            break
-        was = is_
-    else:
-        raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed), component_id: the smallest doc_id that is reachable over links of
     `threshold` or fewer differing bits, itself included.
