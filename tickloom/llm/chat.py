@@ -6,8 +6,8 @@ sorted by sequence; every task folds its conversations one after the other as a
 conversation at a time, and renders the final messages.
 
 The template: a system turn is <<SYS>>...<</SYS>>, a user turn [INST]...[/INST], an assistant turn [ASST]...</s>, any other
-<|role|>...<|/|>. Inside texts (and other roles) a backslash goes before every backslash, < and [ (and |, in roles), so no marker
-can occur in them, and the output can be read back. The loss mask covers what stands between [ASST] and </s>.
+<|role|>...<|/|>. Inside texts (and other roles) a backslash is written \\\\, < is \\l and [ is \\b (and |, in roles, \\p), so no marker
+occurs in them, and the output can be read back. The loss mask covers what stands between [ASST] and </s>.
 """
 
 from __future__ import annotations
@@ -21,25 +21,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("[ASST]", "</s>")}
-_ESCAPE, _UNESCAPE = re.compile(r"[\\<\[]"), re.compile(r"\\(.)", re.S)
+#: What stands for a character inside texts.
+CODES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
+_ESCAPE, _UNESCAPE = re.compile(r"[\\<\[]"), re.compile(r"\\([\\lbp])")
+_PLAIN = {"\\": "\\", "l": "<", "b": "[", "p": "|"}
 _TEXT = r"((?:[^\\<\[]|\\.)*+)"
 _TURN = re.compile(rf"<<SYS>>{_TEXT}<</SYS>>|\[INST\]{_TEXT}\[/INST\]|\[ASST\]{_TEXT}</s>|<\|((?:[^\\<\[|]|\\.)*+)\|>{_TEXT}<\|/\|>", re.S)
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(r"\\\g<0>", text)
+    return _ESCAPE.sub(lambda m: CODES[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+    return _UNESCAPE.sub(lambda m: _PLAIN[m[1]], text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The conversation's string, and the spans that training loss covers."""
     parts, mask, at = [], [], 0
     for role, text in turns:
-        start, end = MARKS.get(role) or (f"<|{escape(role).replace('|', chr(92) + '|')}|>", "<|/|>")
+        start, end = MARKS.get(role) or (f"<|{escape(role).replace('|', chr(92) + 'p')}|>", "<|/|>")
         body = escape(text)
         if role == "assistant":
             mask.append((at + len(start), at + len(start) + len(body)))
