@@ -165,7 +165,7 @@ class BarLoader:
 
 
 def parse_rows(raw: DataFrame, mapping: ColumnMapping, symbol: str, validate: bool = True, strict: bool = False) -> DataFrame:
-    """Bars with error columns from string columns c0, c1, ..."""
+    """Bars with error columns from string columns c0, c1, ... In a stream row_idx is null: bars are told apart by time."""
     text = {f: F.col(f"c{getattr(mapping, f)}") for f in FIELDS}
     value = {"timestamp": parse_timestamp(text["timestamp"], strict), "volume": parse_volume(text["volume"])} | {f: parse_float(text[f]) for f in FIELDS[1:5]}
     kinds = []
@@ -174,14 +174,14 @@ def parse_rows(raw: DataFrame, mapping: ColumnMapping, symbol: str, validate: bo
         missing = F.struct(F.lit("missing").alias("kind"), F.lit(f).alias("column"), F.lit("").alias("text"), F.lit(expected).alias("expected"))
         wrong = F.struct(F.lit("type").alias("kind"), F.lit(f).alias("column"), text[f].alias("text"), F.lit(expected).alias("expected"))
         kinds.append(F.when(text[f].isNull(), missing).when(value[f].isNull(), wrong))
-    numbered = raw.withColumn("row_idx", _file_order())
+    numbered = raw.withColumn("row_idx", F.lit(None).cast("long") if raw.isStreaming else _file_order())
     out = numbered.select(F.lit(symbol).alias("symbol"), "row_idx", *[value[f].alias(f) for f in FIELDS], F.coalesce(*kinds).alias("bad"))
     invalid = F.when(F.col("bad").isNull(), bar_error()) if validate else F.lit(None).cast("string")
     out = out.withColumn("invalid", invalid)
     kind = F.coalesce(F.col("bad.kind"), F.when(F.col("invalid").isNotNull(), F.lit("invalid")))
     row = F.col("row_idx") + 1
     message = (
-        F.when((kind == "missing") & (F.col("bad.column") == "timestamp"), F.format_string("Invalid CSV format: Missing timestamp column at row %d", row))
+        F.when((kind == "missing") & (F.col("bad.column") == "timestamp"), F.concat(F.lit("Invalid CSV format: Missing timestamp column at row "), row))
         .when(kind == "missing", F.format_string("Invalid CSV format: Missing %s field at row %d", "bad.column", row))
         .when((kind == "type") & (F.col("bad.column") == "timestamp"), F.format_string("Invalid CSV format: Unable to parse timestamp at row %d: %s", row, "bad.text"))
         .when(kind == "type", F.format_string("Invalid data type for column %s: expected %s, got %s", "bad.column", "bad.expected", "bad.text"))
