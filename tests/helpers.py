@@ -37,13 +37,19 @@ def plain(value):
 
 
 def same(df, con, sql):
-    """The rows of both, as sorted tuples with columns by name."""
+    """The rows of both, as sorted tuples with columns by name, ordered by what isn't a double first."""
     names = sorted(df.columns)
     cur = con.execute(sql)
     own = [d[0] for d in cur.description]
     assert sorted(own) == names
     at = [own.index(n) for n in names]
-    key = lambda row: tuple((x is None, str(x)) for x in row)
+    key = lambda row: (tuple((x is None, str(x)) for x in row if not isinstance(x, float)), tuple(x for x in row if isinstance(x, float)))
     theirs = sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=key)
     ours = sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=key)
     return ours, theirs
+
+
+def close(ours, theirs):
+    """Equal but for the last digit that both round to."""
+    alike = lambda a, b: a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-6 * max(1, abs(a)))
+    return len(ours) == len(theirs) and all(alike(a, b) for p, q in zip(ours, theirs, strict=True) for a, b in zip(p, q, strict=True))

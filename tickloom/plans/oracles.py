@@ -109,7 +109,7 @@ def _sql() -> dict[str, str]:
     out = {
         "bars_hourly": f'{H} SELECT symbol, ts AS timestamp, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round("close", 6) AS "close", volume, i AS row_idx FROM b',
         "bars_lineitem": """WITH l AS (SELECT l_returnflag AS symbol, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS timestamp, l_extendedprice / l_quantity AS p, l_quantity AS v, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o FROM lineitem)
-SELECT symbol, timestamp, round(arg_min(p, o), 6) AS open, round(max(p), 6) AS high, round(min(p), 6) AS low, round(arg_max(p, o), 6) AS "close", CAST(sum(v) AS BIGINT) AS volume FROM l GROUP BY 1, 2""",
+SELECT symbol, timestamp, arg_min(p, o) AS open, max(p) AS high, min(p) AS low, arg_max(p, o) AS "close", CAST(sum(v) AS BIGINT) AS volume FROM l GROUP BY 1, 2""",
         "candle_metrics": f'{H} SELECT symbol, ts AS timestamp, round(high - low, 6) AS "range", round(abs("close" - open), 6) AS body, round(high - greatest(open, "close"), 6) AS upper, round(least(open, "close") - low, 6) AS lower, round(tp, 6) AS typical, round((high + low + "close" + "close") / 4, 6) AS weighted FROM b',
         "candle_flags": f'{H} SELECT symbol, ts AS timestamp, "close" > open AS bullish, "close" < open AS bearish, abs("close" - open) <= 5 AS doji FROM b',
         "features_f11": f'{H} SELECT symbol, i AS row_idx, round(open, 6) AS f0, round(high, 6) AS f1, round(low, 6) AS f2, round("close", 6) AS f3, CAST(volume AS DOUBLE) AS f4, round(high - low, 6) AS f5, round(abs("close" - open), 6) AS f6, round(high - greatest(open, "close"), 6) AS f7, round(least(open, "close") - low, 6) AS f8, round(tp, 6) AS f9, round((high + low + "close" + "close") / 4, 6) AS f10 FROM b',

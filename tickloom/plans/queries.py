@@ -69,7 +69,7 @@ def bars_hourly(spark, d):
 
 @query
 def bars_lineitem(spark, d):
-    return rounded(bars_from_lineitem(spark, d))
+    return bars_from_lineitem(spark, d)
 
 
 @query
