@@ -2,22 +2,23 @@
 
 Sources in order of code point, null last, have the weights of a repeating list; they share `share` times all words, but
 no source gives more than `epochs` times its own: what it lacks is shared by weight among the others until none is
-above. Within a source, documents come in the order of a hash of their id. That order is cut into key ranges of about
-`bucket_rows` rows, so a source with a third of all rows is many ranges; the words of each range are summed and prefixed,
-and only inside a range are single documents prefixed. The mix takes whole epochs and then documents in order until the
+above. Within a source, documents come in the order of a hash of their id. That order is cut into as many key ranges as
+each range then has rows (the root of the source's rows), so a source with a third of all rows is many ranges; the words of each range are
+summed and prefixed, and only inside a range are single documents prefixed. The mix takes whole epochs and then documents in order until the
 source's exact budget, the last one in part.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import materialise, n_words
 
-WEIGHTS, SHARE, EPOCHS, BUCKET_ROWS = (3, 1, 2), Fraction(3, 2), 2, 20_000
+WEIGHTS, SHARE, EPOCHS = (3, 1, 2), Fraction(3, 2), 2
 SEED = "mix"
 
 
@@ -40,7 +41,7 @@ def _key(doc: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc.cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """One row per row of docs: doc_id, source, size (words), source_size, target, taken (words taken, repeats counted).
 
     Null texts have size 0 and take nothing; a null source is a source, the last. Repeated rows count each. An empty
@@ -55,7 +56,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     plan = []
     for x, t in zip(sums, goal, strict=True):
         whole, rest = divmod(int(t), x.source_size) if x.source_size else (0, 0)
-        plan.append((x.source, x.source_size, float(t), whole, rest, max(1, -(-x.n // bucket_rows))))
+        plan.append((x.source, x.source_size, float(t), whole, rest, isqrt(x.n) + 1))
     spark = docs.sparkSession
     planned = spark.createDataFrame(plan, "p_source string, source_size long, target double, whole long, rest long, buckets long").coalesce(1)
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
