@@ -6,11 +6,13 @@ turns one into the other (so four fifths of the words or more are equal). Of nea
 line goes if an earlier distinct line lies within the bound.
 
 Two such lines have an equal first or an equal last half (the half of the shorter one). So each distinct line first
-gives at most four hashed half keys, and only lines that share one with another line emit all variants: the line itself
-and the line without its i-th word, as 128-bit hashes. Equal variants are joined. Lines that are equal without their
-i-th words are near duplicates if i is the same (replaced); a line that equals another without a word is one (inserted or deleted). So a
-group of equal variants needs no pairs: its earliest line per i, its earliest line with a deletion and its whole line, which are
-aggregates that sum up before rows are dealt, tell each member its earliest partner. The partner is then verified word by word.
+gives at most four hashed half keys, and only lines that share one with another line are looked at again. Those are cut into
+SEGMENTS parts, with a key for all words outside of each part: the edit lies in a part for which the key is shared. The line itself and the
+line without its i-th word, for every i of such a part, are then emitted as 128-bit hashes (the other variants can equal none of another line).
+Equal variants are joined. Lines that are equal without their i-th words are near duplicates if i is the same (replaced); a line that equals another
+without a word is one (inserted or deleted). So a group of equal variants needs no pairs: its earliest line per i, its earliest line with a
+deletion and its whole line, which are aggregates that sum up before rows are dealt, tell each member its earliest partner. The partner is then
+verified word by word.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BLANKS, materialise, words
+from tickloom.llm.common import BLANKS, materialise
 
-MIN_WORDS = 5
+MIN_WORDS, SEGMENTS = 5, 8
+_TRIM = " \t\n\x0b\x0c\r"
 
 
 def _hash(w: Column) -> list[Column]:
@@ -28,28 +31,44 @@ def _hash(w: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(place: document, hash of its text, line number; w) of all lines with words."""
+    """(place: document, hash of its text, line number; line, trimmed) of all lines with words."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = own.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    out = out.where(F.col("line").rlike(f"[^{BLANKS}]"))
-    return out.select(F.struct("doc_id", "doc", "no").alias("place"), words(F.col("line")).alias("w"))
+    out = out.select(F.struct("doc_id", "doc", "no").alias("place"), F.btrim("line", F.lit(_TRIM)).alias("line"))
+    return out.where("line <> ''")
 
 
-def _half_keys(w: Column) -> Column:
-    """Hashes of the first and last halves, for a partner of as many words and for one that is a word shorter."""
+def _words(line: Column) -> Column:
+    return F.split(line, f"[{BLANKS}]+")
+
+
+def _half_keys(w: Column) -> list[Column]:
+    """Hashes of the first and last halves, for a partner of as many words and, where that differs, for one that is a word shorter."""
     n = F.size(w)
     key = lambda side, k: F.xxhash64(F.lit(side), k, F.slice(w, F.lit(1) if side == 0 else n - k + 1, k))
     whole, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    keys = F.array(key(0, whole), key(1, whole), key(0, less), key(1, less))
-    return F.when(n >= MIN_WORDS, F.array_distinct(keys)).otherwise(F.array().cast("array<bigint>"))
+    long, even = n >= MIN_WORDS, (n > MIN_WORDS) & (n % 2 == 0)
+    return [F.when(long, key(0, whole)).alias("k0"), F.when(long, key(1, whole)).alias("k1"), F.when(even, key(0, less)).alias("k2"), F.when(even, key(1, less)).alias("k3")]
+
+
+def _segments(w: Column) -> Column:
+    """(key, first, last) of each part, for a partner of as many words or one more (m = n) and for one of a word less (m = n - 1)."""
+    n = F.size(w)
+
+    def part(m: Column, s: Column) -> Column:
+        start, end = F.floor(s * m / SEGMENTS).cast("int"), F.floor((s + 1) * m / SEGMENTS).cast("int")
+        key = F.xxhash64(m, s, F.slice(w, F.lit(1), start), F.slice(w, n - m + end + 1, m - end))
+        return F.struct(key.alias("key"), start.alias("first"), F.least(end, n - 1).alias("last"))
+
+    parts = F.sequence(F.lit(0), F.lit(SEGMENTS - 1))
+    shorter = F.when(n > MIN_WORDS, F.transform(parts, lambda s: part(n - 1, s))).otherwise(F.slice(F.transform(parts, lambda s: part(n, s)), 1, 0))
+    return F.concat(F.transform(parts, lambda s: part(n, s)), shorter)
 
 
-def _variants(w: Column) -> Column:
-    """(i, h, g) of the line itself (i = -1) and of the line without its i-th word."""
+def _variants(w: Column, first: Column, last: Column) -> Column:
+    """(i, h, g) of the line without its i-th word, for i from first to last."""
     rest = lambda i: (F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.size(w)))
-    cut = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(*rest(i)).alias("h"), F.xxhash64(F.lit(1), *rest(i)).alias("g")))
-    itself = F.struct(F.lit(-1).alias("i"), *_hash(w))
-    return F.concat(F.array(itself), F.when(F.size(w) >= MIN_WORDS, cut))
+    return F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("i"), F.xxhash64(*rest(i)).alias("h"), F.xxhash64(F.lit(1), *rest(i)).alias("g")))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -64,18 +83,24 @@ def within_one(a: Column, b: Column) -> Column:
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The distinct lines (place of the earliest) and, of those, the places of lines with an earlier near duplicate
     (place, partner)."""
-    lines = _lines(docs, id_col, text_col)
-    keyed = lines.select("place", *_hash(F.col("w")), _half_keys(F.col("w")).alias("keys"))
-    distinct = materialise(keyed.groupBy("h", "g").agg(F.min("place").alias("place"), F.min("keys").alias("keys")).select("place", "keys"), "distinct-lines")
-    by_key = distinct.select("place", F.explode("keys").alias("key"))
-    shared = by_key.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key")
-    chosen = materialise(by_key.join(shared, "key").select("place").distinct(), "candidate-places")
-    texts = materialise(_lines(docs, id_col, text_col).join(chosen, "place", "left_semi").distinct(), "candidate-lines")
-    variant = texts.select("place", F.size("w").alias("n"), F.explode(_variants(F.col("w"))).alias("v")).select("place", "n", "v.*")
-    variant = variant.where((F.col("i") < 0) | (F.col("n") >= MIN_WORDS))
-    by_i = variant.groupBy("h", "g", "i").agg(F.min("place").alias("least"), F.count("*").alias("m"))
-    group = by_i.groupBy("h", "g").agg(F.min(F.when(F.col("i") < 0, F.col("least"))).alias("whole"), F.min(F.when((F.col("i") >= 0), F.col("least"))).alias("cut"), F.sum("m").alias("members"), F.max(F.when((F.col("i") >= 0), F.col("m"))).alias("most"))
-    group = materialise(group.where("members > 1 AND (most > 1 OR whole IS NOT NULL)").drop("members", "most"), "groups")
+    half = ["k0", "k1", "k2", "k3"]
+    keyed = _lines(docs, id_col, text_col).select("place", _words(F.col("line")).alias("w")).select("place", *_hash(F.col("w")), *_half_keys(F.col("w")))
+    distinct = materialise(keyed.groupBy("h", "g").agg(F.min("place").alias("place"), *[F.min(k).alias(k) for k in half]).drop("g"), "distinct-lines")
+    by_key = distinct.select("h", F.explode(F.array(*half)).alias("key")).where("key IS NOT NULL")
+    shared = by_key.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    chosen = by_key.join(shared, "key", "left_semi").select("h").distinct()
+    chosen = materialise(distinct.join(chosen, "h", "left_semi").select("place"), "candidate-places")
+    found = _lines(docs, id_col, text_col).join(chosen, "place", "left_semi")
+    texts = materialise(found.select("place", _words(F.col("line")).alias("w")).dropDuplicates(["place"]), "candidate-lines")
+    parts = texts.select("place", F.explode(_segments(F.col("w"))).alias("p")).select("place", "p.*")
+    equal = parts.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key")
+    spots = materialise(parts.join(equal, "key", "left_semi").select("place", "first", "last").distinct(), "spots")
+    cut = texts.join(spots, "place").select("place", F.explode(_variants(F.col("w"), F.col("first"), F.col("last"))).alias("v")).select("place", "v.*")
+    whole = texts.join(spots.select("place").distinct(), "place", "left_semi").select("place", F.lit(-1).alias("i"), *_hash(F.col("w")))
+    variant = materialise(cut.union(whole), "variants")
+    by_i = variant.groupBy("h", "g", "i").agg(F.min("place").alias("least"), F.max("place").alias("latest"))
+    group = by_i.groupBy("h", "g").agg(F.min(F.when(F.col("i") < 0, F.col("least"))).alias("whole"), F.min(F.when((F.col("i") >= 0), F.col("least"))).alias("cut"), F.bool_or((F.col("i") >= 0) & (F.col("least") != F.col("latest"))).alias("same"))
+    group = materialise(group.where("same OR whole IS NOT NULL AND cut IS NOT NULL").drop("same"), "groups")
     some = materialise(variant.join(group, ["h", "g"]), "members")
     same_i = some.where("i >= 0").groupBy("h", "g", "i").agg(F.min("place").alias("replaced"))
     met = some.join(same_i, ["h", "g", "i"], "left").select("place", F.least(F.when(F.col("i") < 0, F.col("cut")).otherwise(F.col("whole")), F.col("replaced")).alias("partner"))
