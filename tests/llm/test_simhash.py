@@ -60,7 +60,8 @@ def test_fingerprint_equals_the_slow_one():
 def test_anchors_cover():
     anchors = simhash.Anchors(4)
     x = np.random.default_rng(1).integers(0, 1 << 22, 2000)
-    row, anchor, home = anchors.near(x)
+    row, anchor, beyond = anchors.near(x)
+    home = beyond == 0
     assert (np.bincount(row[home], minlength=len(x)) == 1).all()
     assert (anchors.syndrome(anchor) == 0).all()
     assert (np.bitwise_count(x[row] ^ anchor) <= 4).all()
@@ -70,7 +71,30 @@ def test_anchors_cover():
     assert all((r, a) in at for r, a, h in zip(row.tolist(), anchor.tolist(), home.tolist(), strict=True) if h)
 
 
-def test_links_of_random_fingerprints(spark):
+@pytest.mark.parametrize("threshold", [2, 4])
+def test_close_fingerprints_meet_in_either_layout(threshold):
+    rng = np.random.default_rng(threshold)
+    x = rng.integers(-(2**63), 2**63 - 1, 400)
+    y = x.view(np.uint64).copy()
+    for k in range(len(y)):
+        for b in rng.choice(64, threshold, replace=False).tolist():
+            y[k] ^= np.uint64(1) << np.uint64(b)
+    y = y.view(np.int64)
+    one, two = simhash.Anchors(3 + threshold // 3), simhash.Anchors(3 + 2 * threshold // 3)
+    for spread in ([lambda f, k=k: simhash.spread_one(one, f, k) for k in range(3)], [lambda f, i=i, j=j: simhash.spread_two(two, f, i, j, 2 * threshold // 3) for i, j in ((0, 1), (0, 2), (1, 2))]):
+        met = np.zeros(len(x), bool)
+        for f in spread:
+            row, group, home = f(x)
+            at_home = dict(zip(row[home].tolist(), group[home].tolist(), strict=True))
+            assert len(at_home) == len(x) == home.sum()
+            row, group, _ = f(y)
+            assert len(set(zip(row.tolist(), group.tolist(), strict=True))) == len(row)
+            met[[r for r, g in zip(row.tolist(), group.tolist(), strict=True) if at_home[r] == g]] = True
+        assert met.all()
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_links_of_random_fingerprints(spark, pairs):
     rng = np.random.default_rng(7)
     base = rng.integers(-(2**63), 2**63 - 1, 300)
     fps = set(base.tolist())
@@ -82,7 +106,7 @@ def test_links_of_random_fingerprints(spark):
             fps.add(y - 2**64 if y >= 2**63 else y)
     fps = {k: x for k, x in enumerate(sorted(fps))}
     distinct = spark.createDataFrame([(x,) for x in fps.values()], "fp long")
-    got = {r.node: r.root for r in simhash.components(simhash.anchor_links(distinct)).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.anchor_links(distinct, pairs=pairs)).collect()}
     want = slow_components({k: x % 2**64 for k, x in fps.items()})
     groups = lambda of: {frozenset(k for k in fps if of(k) == c) for c in {of(k) for k in fps}}
     assert groups(lambda k: got.get(fps[k], fps[k])) == groups(lambda k: want[k])

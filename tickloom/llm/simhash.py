@@ -7,6 +7,10 @@ bits). A fingerprint is replicated to every anchor within 3 + threshold // 3 bit
 lies within that distance of x's home anchor: both stand in that anchor's group. In a group only home members are
 compared with all members, on all 64 bits. So no link is lost, and none is reported that isn't one.
 
+With `pairs` the key is two anchors, of every pair of blocks: two of the three blocks differ in at most 2 * threshold // 3 bits together, so a
+fingerprint goes to every pair of anchors whose distances beyond 3 add up to that at most. That makes some 183 rows a fingerprint in place of
+16 and groups 4096 times smaller: the layout for very many distinct fingerprints. Both find the same links.
+
 A group never emits pairs: each hands on a spanning forest of its own links, at most one row a member. The forests are
 joined by connected components over written tables.
 """
@@ -95,7 +99,7 @@ class Anchors:
         error = np.array(errors, np.int64)
         order = np.argsort(self.syndrome(error), kind="stable")
         self.error = error[order]
-        self.home = np.bitwise_count(self.error) <= GOLAY_RADIUS
+        self.beyond = np.maximum(np.bitwise_count(self.error).astype(np.int64) - GOLAY_RADIUS, 0)
         self.count = np.bincount(self.syndrome(self.error), minlength=2048)
         self.first = np.cumsum(self.count) - self.count
 
@@ -103,12 +107,12 @@ class Anchors:
         return self.table[0][x & 255] ^ self.table[1][x >> 8 & 255] ^ self.table[2][x >> 16]
 
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row number, anchor and whether it is the home anchor."""
+        """Row number, anchor and how far beyond the covering radius it is (0: the home anchor)."""
         s = self.syndrome(x)
         n = self.count[s]
         row = np.repeat(np.arange(len(x)), n)
         which = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[s], n)
-        return row, x[row] ^ self.error[which], self.home[which]
+        return row, x[row] ^ self.error[which], self.beyond[which]
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,17 +149,43 @@ def forest(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarra
     return fps[moved], fps[label[moved]]
 
 
-def anchor_links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
+def block_values(fp: np.ndarray, block: int) -> np.ndarray:
+    low, width = BLOCKS[block]
+    return (fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
+
+
+def spread_one(anchors: Anchors, fp: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, group and whether it is at home there, for the anchors of one block."""
+    row, anchor, beyond = anchors.near(block_values(fp, block))
+    return row, anchor | block << GOLAY_BITS, beyond == 0
+
+
+def spread_two(anchors: Anchors, fp: np.ndarray, left: int, right: int, beyond: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As spread_one for pairs of anchors that are at most `beyond` beyond the covering radius together."""
+    r1, a1, b1 = anchors.near(block_values(fp, left))
+    r2, a2, b2 = anchors.near(block_values(fp, right))
+    n2 = np.bincount(r2, minlength=len(fp))
+    first = np.cumsum(n2) - n2
+    one = np.repeat(np.arange(len(r1)), n2[r1])
+    two = np.arange(len(one)) - np.repeat(np.cumsum(n2[r1]) - n2[r1], n2[r1]) + np.repeat(first[r1], n2[r1])
+    kept = b1[one] + b2[two] <= beyond
+    one, two = one[kept], two[kept]
+    return r1[one], a1[one] | a2[two] << GOLAY_BITS | (left + right) << 2 * GOLAY_BITS, b1[one] + b2[two] == 0
+
+
+def anchor_links(distinct: DataFrame, threshold: int = 4, pairs: bool = False) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within `threshold` bits, as forests of the groups."""
-    radius = GOLAY_RADIUS + threshold // len(BLOCKS)
+    beyond = 2 * threshold // len(BLOCKS) if pairs else threshold // len(BLOCKS)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(radius)
+        anchors = Anchors(GOLAY_RADIUS + beyond)
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            for k, (low, width) in enumerate(BLOCKS):
-                row, anchor, home = anchors.near((fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1))
-                yield pa.RecordBatch.from_arrays([pa.array((anchor | k << GOLAY_BITS).astype(np.int32)), pa.array(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
+            whole = batch.column(0).to_numpy()
+            for at in range(0, len(whole), 2000):
+                fp = whole[at : at + 2000]
+                parts = [spread_two(anchors, fp, i, j, beyond) for i, j in ((0, 1), (0, 2), (1, 2))] if pairs else [spread_one(anchors, fp, k) for k in range(len(BLOCKS))]
+                for row, group, home in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -178,11 +208,11 @@ def anchor_links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
         if held:
             yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    spread = distinct.select("fp").mapInArrow(replicate, "anchor int, fp long, home boolean")
+    spread = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4, pairs: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed), component_id: the smallest doc_id that is reachable over links of
     `threshold` or fewer differing bits, itself included.
 
@@ -192,16 +222,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    member = components(anchor_links(first, threshold))
+    member = components(anchor_links(first, threshold, pairs))
     rooted = first.join(member, first.fp == member.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return fps.join(rooted.select("fp", "root").join(smallest, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4, pairs: bool = False) -> DataFrame:
     """The rows of docs of which one stays for each group of near duplicates: the one with the smallest id. Of repeated
     rows with that id one stays. All columns come back as they were."""
-    found = near_duplicates(docs, id_col, text_col, shingle, threshold)
+    found = near_duplicates(docs, id_col, text_col, shingle, threshold, pairs)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tl_id")).distinct()
     kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__tl_id")), "left_semi")
     return kept.dropDuplicates([id_col])
