@@ -90,7 +90,8 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = by_key.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     chosen = by_key.join(shared, "key", "left_semi").select("h").distinct()
     chosen = materialise(distinct.join(chosen, "h", "left_semi").select("place"), "candidate-places")
-    found = _lines(docs, id_col, text_col).join(chosen, "place", "left_semi")
+    # the candidates grow with the lines: one plan at every size, without a broadcast
+    found = _lines(docs, id_col, text_col).join(chosen.hint("merge"), "place", "left_semi")
     texts = materialise(found.select("place", _words(F.col("line")).alias("w")).dropDuplicates(["place"]), "candidate-lines")
     parts = texts.select("place", F.explode(_segments(F.col("w"))).alias("p")).select("place", "p.*")
     equal = parts.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key")
