@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontam, mixing, quality, sharding, simhash
+from tickloom.llm import decontam, mixing, near, quality, sharding
 from tickloom.llm.common import materialise, table
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
 
-    Five-word shingles; two texts count as near duplicates if their fingerprints differ in at most 4 bits."""
-    return simhash.keep_first(docs, shingle=5)
+    Two texts count as near duplicates if their sets of five-word shingles have a Jaccard similarity of at least 0.8, exactly."""
+    return near.keep_first(docs, shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("shard", shard)]
-#: SQL has no XXH64 and no transitive closure over near-equal fingerprints of a corpus that would end in time.
+#: SQL has no XXH64 and no transitive closure over near-equal texts of a corpus that would end in time.
 ORACLE_SQL = None
 
 
