@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -57,3 +58,12 @@ def test_edges(spark):
     rows = [(1, None), (2, ""), (None, "Released under the MIT License."), (3, "İ Released under the MIT License."), (4, "word " * 50_000 + "license"), (None, "Released under the MIT License.")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], SCHEMA + ", license int")
     assert sorted((r.doc_id or 0, r.license) for r in ls.scan(docs).collect()) == [(0, "MIT"), (0, "MIT"), (3, "MIT")]
+
+
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "CC-BY-NC-4.0", "GPL-3.0"])
+def test_statement_in_a_long_line(name):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 9))) for _ in range(15_000)]
+    text = " ".join(words[:7000]) + " " + ls.TEMPLATES[name] + " " + " ".join(words[7000:])
+    assert len(text) > 100_000
+    assert [(x["license"], x["missing"], x["extra"]) for x in ls.Scanner(ls.TEMPLATES).scan(text)] == [(name, 0, 0)]

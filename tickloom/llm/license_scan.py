@@ -2,7 +2,7 @@
 
 Lines with a licensing cue, and the lines between two of them that stand at most `gap` apart, are candidate blocks. A block is
 compressed alone and with each template as a raw Zstandard dictionary; the templates are ranked by the share of the
-block's compressed size that knowing them saves. Those that save anything are confirmed in turn by their exact wording: the block's words and
+block's compressed size that knowing them saves, which may be less than nothing on long blocks. Each is then confirmed by its exact wording: the block's words and
 the template's are aligned, and a template is found if at least `similarity` of the words on both sides of the aligned stretch are equal and all its
 numbers and names of licenses occur; the words that differ are reported. A block may confirm several templates in
 different places.
@@ -118,7 +118,7 @@ class Scanner:
             found = normal(block)
             winners: list[tuple] = []
             for saved, name in self.rank(block):
-                for first, end, missing, extra in self.confirm(found, name) if saved > 0 else []:
+                for first, end, missing, extra in self.confirm(found, name):
                     winners.append((missing + extra, -(end - first), name, first, end, saved, missing, extra))
             taken: list[tuple[int, int]] = []
             for _, _, name, first, end, saved, missing, extra in sorted(winners):
