@@ -67,3 +67,10 @@ def test_statement_in_a_long_line(name):
     text = " ".join(words[:7000]) + " " + ls.TEMPLATES[name] + " " + " ".join(words[7000:])
     assert len(text) > 100_000
     assert [(x["license"], x["missing"], x["extra"]) for x in ls.Scanner(ls.TEMPLATES).scan(text)] == [(name, 0, 0)]
+
+
+@pytest.mark.parametrize("before", ["", "We moved this page to another server last year. ", "This is licensed. ", "Permission of this work is general. "])
+def test_first_word_differs(before):
+    text = before + "Our work is licensed under the GNU General Public License, version 3."
+    found = ls.Scanner(ls.TEMPLATES).scan(text)
+    assert [x["license"] for x in found] == ["GPL-3.0"] and text[found[0]["end"] - 9 : found[0]["end"]] == "version 3"

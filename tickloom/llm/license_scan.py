@@ -2,7 +2,7 @@
 
 Lines with a licensing cue, and the lines between two of them that stand at most `gap` apart, are candidate blocks. A block is
 compressed alone and with each template as a raw Zstandard dictionary; the templates are ranked by the share of the
-block's compressed size that knowing them saves, which may be less than nothing on long blocks. Each is then confirmed by its exact wording: the block's words and
+block's compressed size that knowing them saves, which may be less than nothing on long blocks. Each is then confirmed by its exact wording, wherever one of its first words stands: the block's words and
 the template's are aligned, and a template is found if at least `similarity` of the words on both sides of the aligned stretch are equal and all its
 numbers and names of licenses occur; the words that differ are reported. A block may confirm several templates in
 different places.
@@ -11,8 +11,10 @@ different places.
 from __future__ import annotations
 
 import difflib
+import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -91,25 +93,28 @@ class Scanner:
 
     def confirm(self, found: list[tuple[str, int, int]], name: str) -> list[tuple[int, int, int, int]]:
         """Places of a template in a block's words: (first word, end, words missing, words extra)."""
-        out, want = [], self.words[name]
+        want = self.words[name]
         must = {w for w in want if w in NAMES or any(c.isdigit() for c in w)}
+        known, reach = set(want), len(want) + len(want) // 4 + 1
+        early = set(want[: len(want) - math.ceil(self.similarity * len(want) - 1e-9) + 1])  # one of these is the first equal word
         texts = [w for w, _, _ in found]
-        starts = [k for k, w in enumerate(texts) if w == want[0]] or range(0, len(texts), max(1, len(want) // 2))
-        free = 0
-        for at in starts:
-            if at < free:
+        upto = list(accumulate((w in known for w in texts), initial=0))
+        out = set()
+        for at, word in enumerate(texts):
+            if word not in early or upto[min(at + reach, len(texts))] - upto[at] < self.similarity * len(want):
                 continue
-            part = texts[at : at + len(want) + len(want) // 4 + 1]
-            same = [m for m in difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks() if m.size]
-            if not same:
+            part = texts[at : at + reach]
+            if not must <= set(part):
                 continue
-            end = same[-1].b + same[-1].size
-            begin = same[0].b
-            equal = sum(m.size for m in same)
-            if equal >= self.similarity * max(len(want), end - begin) and must <= set(part[begin:end]):
-                out.append((at + begin, at + end, len(want) - equal, end - begin - equal))
-                free = at + end
-        return out
+            same = [m for m in difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks() if m.size]
+            for i, first in enumerate(same):  # words that stand alone before or after the statement may be left out
+                equal = 0
+                for m in same[i:]:
+                    equal += m.size
+                    begin, end = first.b, m.b + m.size
+                    if equal >= self.similarity * max(len(want), end - begin) and must <= set(part[begin:end]):
+                        out.add((at + begin, at + end, len(want) - equal, end - begin - equal))
+        return sorted(out)
 
     def scan(self, text: str) -> list[dict]:
         out = []
