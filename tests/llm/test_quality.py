@@ -42,10 +42,11 @@ def test_held_out_labels(spark):
 
 
 def test_sketches_merge_in_any_order(spark):
-    rows = spark.range(5000).selectExpr("id % 7 AS g", "id * id % 9973 AS symbols", "0L AS lines", "0L AS repeats", "id AS length", "1L AS n_words")
+    rows = spark.range(5000).selectExpr("id % 7 AS g", "id * id % 9973 AS marks", "0L AS lines", "id % 3 AS repeats", "id AS length", "20L AS n_words", "0L AS n_repeat_words")
     whole = {tuple(r) for r in quality.sketch(rows, ["g"]).collect()}
     parts = quality.sketch(rows.where("length % 3 = 0"), ["g"]).union(quality.sketch(rows.where("length % 3 > 0"), ["g"]))
     assert {tuple(r) for r in quality.merge(parts, ["g"]).collect()} == whole
+    assert not [x for x in whole if x[1] == "lines"] and not [x for x in whole if x[1] == "repeats" and x[2] == 0]
 
 
 def test_bucket_keeps_seven_bits(spark):
@@ -61,6 +62,40 @@ def test_thresholds_adapt(spark):
     assert all(v for k, v in kept.items() if k != 5000) and not kept[5000]
 
 
+def test_every_bound_moves_between_sources_of_the_documents(spark):
+    """All four measures have bounds of their own in the sources of the test table, and none lies at its slack."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality._measures(quality.materialise(quality.features(docs, "text", F.col("lang"), F.col("source")), "features"))
+    bounds = quality.thresholds(quality.sketch(rows, ["lang", "source"]), ["lang", "source"], 10).where("lang = 'en'").collect()
+    for name in [f"{m}_max" for m in quality.MEASURES] + ["length_min"]:
+        values = {b[name] for b in bounds} - {None}
+        assert len(values) > 3 and min(values) > 2 * quality.SLACK, (name, values)
+
+
+def test_repeats_below_the_base_rule_go(spark):
+    """A text with 19 percent of its words repeated goes where texts repeat less, and stays where all do."""
+    words = lambda k, n: [f"w{k}x{j}" for j in range(n)]
+
+    def text(k, n, again):
+        w = words(k, n)
+        return " ".join(w + w[:again])
+
+    rows = [(k, text(k, 380, 5), "en", "plain") for k in range(300)] + [(1000 + k, text(1000 + k, 100, 8 + k % 4), "en", "loops") for k in range(300)]
+    rows += [(5000, text(5000, 100, 10), "en", "plain"), (5001, text(5001, 100, 10), "en", "loops")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got[5000].base_failed and not got[5000].kept and got[5001].kept
+    assert all(r.kept for k, r in got.items() if k < 5000)
+
+
+def test_repeated_rows_and_columns(spark):
+    """Null ids, one id with two texts and repeated rows: every row that the rules keep stays, as often as it stands there."""
+    good = "word text more of this kind and some that differ by number {}"
+    rows = [(None, good.format(1), "en", "s"), (None, good.format(1), "en", "s"), (7, good.format(2), "en", "s"), (7, "x", "en", "s"), (8, good.format(3), None, None)]
+    docs = spark.createDataFrame([(*r, 1, "f") for r in rows], SCHEMA + ", n_marks int, marks string")
+    got = quality.keep_good(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((r[0] or 0, r[1]) for r in rows if r[1] != "x")
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None)], [(1, "a " * 30, None, "s")] * 3])
 def test_edges(spark, rows):
     docs = spark.createDataFrame([(*r, 5, True) for r in rows], SCHEMA + ", n_words int, kept boolean")

@@ -1,16 +1,17 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches. DataFrame functions only.
 
-Four whole numbers describe a text: symbols, repeated lines and words in repeated windows per thousand, and the mean word
-length in hundredths of a character. A sketch is a histogram that keeps the top seven bits of a value (so a quantile is
-off by less than 1/64), counts only, as rows (group, measure, bucket, count): sketches merge by adding counts, in any
-order, with one result. They are built per language and source in one aggregation, which sums up before rows are dealt,
-so a source with a third of all rows is no hot key, and merge to languages and to all rows. A document is held against
-the finest of the three levels that has seen `min_rows` documents. In place of a fixed cutoff it must lie within
-
-    median + SPREAD * (median - first quartile) + slack
-
-of its group (for word length also above the mirrored bound); the lower half of the distribution sets the scale, so junk
-in the upper half doesn't widen it.
+Four whole numbers describe a text: `marks` (ASCII punctuation per thousand characters of words), `lines` (repeated lines per thousand),
+`repeats` (words in repeated windows per thousand) and `length` (mean word length in hundredths of a character). A sketch is a histogram that
+keeps the top seven bits of a value (so a quantile is off by less than 1/64), counts only, as rows (group, measure, bucket, count): sketches
+merge by adding counts, in any order, with one result. They are built per language and source over the texts that pass the base rule, in one
+aggregation, which sums up before rows are dealt, so a source with a third of all rows is no hot key, and merge to languages and to all rows.
+In place of a fixed cutoff a text must lie below
+
+    third quartile + SPREAD * (third quartile - first quartile) + SLACK
+
+of each measure (for word length also above the mirrored bound), taken from the finest of the three levels that has seen `min_rows` values.
+Most texts have no repeated line or window at all, so for these two the quartiles are those of the values above zero. SLACK only keeps a group
+whose texts are all alike from having no room; quartiles hold against junk of up to a quarter of a group.
 """
 
 from __future__ import annotations
@@ -18,26 +19,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BLANKS, materialise, words
+from tickloom.llm.common import BLANKS, materialise, plain_words
 
-MEASURES = ("symbols", "lines", "repeats", "length")
-SLACK = {"symbols": 100, "lines": 500, "repeats": 200, "length": 200}
-SPREAD, MIN_ROWS, WINDOW = 6, 200, 5
+MEASURES = ("marks", "lines", "repeats", "length")
+ABOVE_ZERO = ("lines", "repeats")
+SPREAD = {"marks": 4, "lines": 2, "repeats": 4, "length": 6}
+SLACK, MIN_ROWS, WINDOW = 20, 200, 5
 
 
 def features(docs: DataFrame, text_col: str = "text", *keep: Column) -> DataFrame:
-    """The kept columns, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines and n_repeat_words of every whole text."""
+    """The kept columns, n_words, word_chars, n_symbols, n_marks, n_lines (with a word), n_dup_lines and n_repeat_words of every whole text."""
     text = F.col("__tl_text")
-    out = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__tl_text")).withColumn("__tl_w", words(text))
-    out = out.withColumn("__tl_l", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANKS}]")))
-    w, lines = F.col("__tl_w"), F.col("__tl_l")
-    out = out.withColumn("n_words", F.size(w).cast("long")).withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
-    out = out.withColumn("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"))
-    out = out.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
-    out = out.withColumn("__tl_h", F.transform(w, lambda x: F.xxhash64(x))).drop("__tl_text", "__tl_l", "__tl_w")
+    out = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__tl_text"))
+    out = out.withColumns({"__tl_w": plain_words(text), "__tl_l": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))})
+    w, lines, count = F.col("__tl_w"), F.col("__tl_l"), lambda which: F.regexp_count(text, F.lit(which)).cast("long")
+    out = out.withColumns({"n_words": F.size(w).cast("long"), "word_chars": F.length(F.array_join(w, "")).cast("long"), "n_symbols": count("[#*$%&|<>]"), "n_marks": count(r"[!-/:-@\[-`{-~]")})
+    out = out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), "__tl_h": F.transform(w, lambda x: F.xxhash64(x))})
+    out = out.drop("__tl_text", "__tl_l", "__tl_w")
     h = F.col("__tl_h")
-    windows = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
-    out = out.withColumn("__tl_g", F.when(F.size(h) > WINDOW, windows).otherwise(F.array().cast("array<bigint>"))).drop("__tl_h")
+    shifted = F.arrays_zip(*[F.slice(h, k + 1, F.size(h) - WINDOW + 1).alias(f"w{k}") for k in range(WINDOW)])
+    out = out.withColumn("__tl_g", F.when(F.size(h) > WINDOW, F.transform(shifted, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))).drop("__tl_h")
     g = F.col("__tl_g")
     some = F.size(F.array_distinct(g)) < F.size(g)
     out = out.withColumn("__tl_s", F.when(some, F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i")))))).drop("__tl_g")
@@ -55,7 +56,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def _measures(rows: DataFrame) -> DataFrame:
     per = lambda a, b, k: F.floor(F.lit(k) * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
-    return rows.withColumns({"symbols": per("n_symbols", "n_words", 1000), "lines": per("n_dup_lines", "n_lines", 1000), "repeats": per("n_repeat_words", "n_words", 1000), "length": per("word_chars", "n_words", 100)})
+    return rows.withColumns({"marks": per("n_marks", "word_chars", 1000), "lines": per("n_dup_lines", "n_lines", 1000), "repeats": per("n_repeat_words", "n_words", 1000), "length": per("word_chars", "n_words", 100)})
 
 
 def bucket(value: Column) -> Column:
@@ -65,47 +66,47 @@ def bucket(value: Column) -> Column:
 
 
 def sketch(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Sketches of the four measures: (group..., measure, bucket, n). Rows without words have no measures."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES]))
-    return rows.where("n_words > 0").select(*group, pairs.alias("__tl_m")).groupBy(*group, "__tl_m.measure", "__tl_m.bucket").agg(F.count("*").alias("n"))
+    """Sketches of the four measures: (group..., measure, bucket, n), of the rows that pass the base rule."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES])
+    counted = F.filter(pairs, lambda x: ~x["measure"].isin(*ABOVE_ZERO) | (x["bucket"] > 0))
+    good = rows.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    return good.select(*group, F.explode(counted).alias("__tl_m")).groupBy(*group, "__tl_m.measure", "__tl_m.bucket").agg(F.count("*").alias("n"))
 
 
 def merge(sketches: DataFrame, group: list[str]) -> DataFrame:
     return sketches.groupBy(*group, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketches: DataFrame, group: list[str]) -> DataFrame:
-    """Per group: seen (documents), and for each measure its upper bound; for length also its lower bound."""
+def thresholds(sketches: DataFrame, group: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
+    """Per group the upper bound of each measure and the lower bound of length; null where the measure has fewer than min_rows values."""
     by = Window.partitionBy(*group, "measure")
     run = F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = sketches.withColumn("seen", F.sum("n").over(by)).withColumn("upto", run)
+    placed = sketches.withColumn("seen", F.sum("n").over(by)).withColumn("upto", run).where(F.col("seen") >= min_rows)
     point = lambda num, den: F.min(F.when(F.lit(den) * F.col("upto") >= F.lit(num) * F.col("seen"), F.col("bucket")))
-    q = placed.groupBy(*group, "measure").agg(F.max("seen").alias("seen"), point(1, 4).alias("q1"), point(1, 2).alias("q2"))
-    wide = lambda m: F.lit(SPREAD) * (F.col("q2") - F.col("q1")) + SLACK[m]
+    q = placed.groupBy(*group, "measure").agg(point(1, 4).alias("q1"), point(3, 4).alias("q3"))
+    wide = lambda m: F.lit(SPREAD[m]) * (F.col("q3") - F.col("q1")) + SLACK
     at = lambda m, v: F.max(F.when(F.col("measure") == m, v))
-    return q.groupBy(*group).agg(F.max("seen").alias("seen"), *[at(m, F.col("q2") + wide(m)).alias(f"{m}_max") for m in MEASURES], at("length", F.col("q2") - wide("length")).alias("length_min"))
+    return q.groupBy(*group).agg(*[at(m, F.col("q3") + wide(m)).alias(f"{m}_max") for m in MEASURES], at("length", F.col("q1") - wide("length")).alias("length_min"))
 
 
 def judge(rows: DataFrame, lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
     """rows (with features) plus base_failed and kept."""
     rows = _measures(rows.withColumns({"__tl_lang": F.col(lang_col), "__tl_source": F.col(source_col)}))
-    fine = sketch(rows, ["__tl_lang", "__tl_source"])
-    fine = materialise(fine, "sketches")
+    fine = materialise(sketch(rows, ["__tl_lang", "__tl_source"]), "sketches")
     bounds = [f"{m}_max" for m in MEASURES] + ["length_min"]
-    level = lambda df, n: df.where(F.col("seen") >= min_rows if n else F.lit(True)).select(*[c for c in df.columns if c.startswith("__tl_")], F.struct(*bounds).alias(f"__tl_b{n}"))
-    by_source = level(thresholds(fine, ["__tl_lang", "__tl_source"]), 2).withColumnsRenamed({"__tl_lang": "__tl_lang2", "__tl_source": "__tl_source2"})
-    by_lang = level(thresholds(merge(fine, ["__tl_lang"]), ["__tl_lang"]), 1).withColumnRenamed("__tl_lang", "__tl_lang1")
+    level = lambda df, n: df.withColumnsRenamed({c: f"{c}{n}" for c in ("__tl_lang", "__tl_source")}).withColumnsRenamed({c: f"__tl_{c}{n}" for c in bounds})
+    by_source = level(thresholds(fine, ["__tl_lang", "__tl_source"], min_rows), 2)
+    by_lang = level(thresholds(merge(fine, ["__tl_lang"]), ["__tl_lang"], min_rows), 1)
     whole = merge(fine.withColumn("__tl_all", F.lit(1)), ["__tl_all"])
-    by_all = level(thresholds(whole, ["__tl_all"]), 0)
-    out = rows.withColumn("__tl_one", F.lit(1))
-    out = out.join(by_source, F.col("__tl_lang").eqNullSafe(F.col("__tl_lang2")) & F.col("__tl_source").eqNullSafe(F.col("__tl_source2")), "left")
-    out = out.join(by_lang, F.col("__tl_lang").eqNullSafe(F.col("__tl_lang1")), "left").join(by_all, F.col("__tl_one") == F.col("__tl_all"), "left")
-    b = F.coalesce("__tl_b2", "__tl_b1", "__tl_b0")
-    out = out.withColumn("__tl_b", b).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    inside = F.col("length") >= F.col("__tl_b.length_min")
+    by_all = level(thresholds(whole, ["__tl_all"], 1).drop("__tl_all"), 0)  # one row, or none
+    out = rows.join(by_source, F.col("__tl_lang").eqNullSafe(F.col("__tl_lang2")) & F.col("__tl_source").eqNullSafe(F.col("__tl_source2")), "left")
+    out = out.join(by_lang, F.col("__tl_lang").eqNullSafe(F.col("__tl_lang1")), "left").join(F.broadcast(by_all), F.lit(True), "left")
+    b = {c: F.coalesce(*[f"__tl_{c}{n}" for n in (2, 1, 0)], F.lit(0)) for c in bounds}
+    inside = F.col("length") >= b["length_min"]
     for m in MEASURES:
-        inside = inside & (F.col(m) <= F.col(f"__tl_b.{m}_max"))
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+        inside = inside & (F.col(m) <= b[f"{m}_max"])
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    out = out.withColumns({"base_failed": failed, "kept": ~failed & inside})
     return out.drop(*[c for c in out.columns if c.startswith("__tl_")], *MEASURES)
 
 
@@ -135,20 +136,21 @@ li AS (SELECT r, count(*) n_lines, count(*) - count(DISTINCT l) n_dup FROM (SELE
 wi AS (SELECT r, p, list_slice(w, p, p + 4) g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) p FROM d WHERE len(w) > 4)),
 tw AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) c FROM wi) WHERE c > 1),
 re AS (SELECT r, count(DISTINCT q) n FROM (SELECT r, unnest(range(p, p + 5)) q FROM tw) GROUP BY r),
-f AS (SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) n_lines, CAST(coalesce(n_dup, 0) AS BIGINT) n_dup_lines, CAST(coalesce(re.n, 0) AS BIGINT) n_repeat_words FROM d LEFT JOIN li USING (r) LEFT JOIN re USING (r))
+f AS (SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) n_symbols, CAST(length(t) - length(regexp_replace(t, '[!-/:-@\[-`{-~]', '', 'g')) AS BIGINT) n_marks, CAST(coalesce(n_lines, 0) AS BIGINT) n_lines, CAST(coalesce(n_dup, 0) AS BIGINT) n_dup_lines, CAST(coalesce(re.n, 0) AS BIGINT) n_repeat_words FROM d LEFT JOIN li USING (r) LEFT JOIN re USING (r))
 """
 
 
 def oracle() -> str:
     """The query in DuckDB's SQL."""
-    level = lambda name, cols: f"""
+    level = lambda name, cols, least: f"""
 {name}s AS (SELECT {cols}, m, b, sum(n) n FROM k GROUP BY ALL),
-{name}q AS (SELECT {cols}, m, max(s) seen, min(CASE WHEN 4 * u >= s THEN b END) q1, min(CASE WHEN 2 * u >= s THEN b END) q2 FROM (SELECT *, sum(n) OVER (PARTITION BY {cols}, m) s, sum(n) OVER (PARTITION BY {cols}, m ORDER BY b) u FROM {name}s) GROUP BY ALL),
-{name}t AS (SELECT {cols}, max(seen) seen, {', '.join(f"max(CASE WHEN m = '{m}' THEN q2 + {SPREAD} * (q2 - q1) + {SLACK[m]} END) {m}_max" for m in MEASURES)}, max(CASE WHEN m = 'length' THEN q2 - {SPREAD} * (q2 - q1) - {SLACK['length']} END) length_min FROM {name}q GROUP BY {cols})"""
-    pick = lambda c: f"CASE WHEN a.{c} IS NOT NULL THEN a.{c} WHEN l.{c} IS NOT NULL THEN l.{c} ELSE z.{c} END"
-    tests = " AND ".join([*(f"x.{m} <= {pick(f'{m}_max')}" for m in MEASURES), f"x.length >= {pick('length_min')}"])
+{name}q AS (SELECT {cols}, m, min(CASE WHEN 4 * u >= s THEN b END) q1, min(CASE WHEN 4 * u >= 3 * s THEN b END) q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {cols}, m) s, sum(n) OVER (PARTITION BY {cols}, m ORDER BY b) u FROM {name}s) WHERE s >= {least} GROUP BY ALL),
+{name}t AS (SELECT {cols}, {', '.join(f"max(CASE WHEN m = '{m}' THEN q3 + {SPREAD[m]} * (q3 - q1) + {SLACK} END) {m}_max" for m in MEASURES)}, max(CASE WHEN m = 'length' THEN q1 - {SPREAD['length']} * (q3 - q1) - {SLACK} END) length_min FROM {name}q GROUP BY {cols})"""
+    pick = lambda c: f"coalesce(a.{c}, l.{c}, z.{c}, 0)"
+    tests = " AND ".join([*(f'x."{m}" <= {pick(f"{m}_max")}' for m in MEASURES), f"x.length >= {pick('length_min')}"])
+    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' m, \"{m}\" v FROM x WHERE NOT bf" + f' AND "{m}" > 0' * (m in ABOVE_ZERO) for m in MEASURES)
     return f"""WITH {_FEATURES.strip()},
-x AS (SELECT *, 1000 * n_symbols // greatest(n_words, 1) symbols, 1000 * n_dup_lines // greatest(n_lines, 1) "lines", 1000 * n_repeat_words // greatest(n_words, 1) repeats, 100 * word_chars // greatest(n_words, 1) length, n_words < 10 OR 100 * n_repeat_words > 20 * n_words bf FROM f),
-k AS (SELECT lang, source, 1 one, m, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) b, count(*) n FROM ({' UNION ALL '.join(f"SELECT lang, source, '{m}' m, {m if m != 'lines' else chr(34) + m + chr(34)} v FROM x WHERE n_words > 0" for m in MEASURES)}) GROUP BY ALL),{level('ga', 'lang, source')},{level('gl', 'lang')},{level('gz', 'one')}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bf base_failed, NOT bf AND coalesce({tests}, false) kept
-FROM x LEFT JOIN (SELECT * FROM gat WHERE seen >= {MIN_ROWS}) a ON x.lang IS NOT DISTINCT FROM a.lang AND x.source IS NOT DISTINCT FROM a.source LEFT JOIN (SELECT * FROM glt WHERE seen >= {MIN_ROWS}) l ON x.lang IS NOT DISTINCT FROM l.lang LEFT JOIN gzt z ON true"""
+x AS (SELECT *, 1000 * n_marks // greatest(word_chars, 1) marks, 1000 * n_dup_lines // greatest(n_lines, 1) "lines", 1000 * n_repeat_words // greatest(n_words, 1) repeats, 100 * word_chars // greatest(n_words, 1) length, n_words < 10 OR 100 * n_repeat_words > 20 * n_words bf FROM f),
+k AS (SELECT lang, source, 1 one, m, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) b, count(*) n FROM ({values}) GROUP BY ALL),{level('ga', 'lang, source', MIN_ROWS)},{level('gl', 'lang', MIN_ROWS)},{level('gz', 'one', 1)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bf base_failed, NOT bf AND {tests} kept
+FROM x LEFT JOIN gat a ON x.lang IS NOT DISTINCT FROM a.lang AND x.source IS NOT DISTINCT FROM a.source LEFT JOIN glt l ON x.lang IS NOT DISTINCT FROM l.lang LEFT JOIN gzt z ON true"""
