@@ -74,3 +74,23 @@ def test_edges(spark):
     assert [tuple(r) for r in near.keep_first(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()] == [(3, "x y"), (4, "z")]
     rows = [(None, "q r"), (None, "q r"), (3, "x y")]
     assert sorted((r.doc_id or 0, r.text) for r in near.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()) == [(0, "q r"), (3, "x y")]
+
+
+def test_rows_with_null_and_repeated_ids_stay(spark):
+    """Distinct texts stay whatever their ids, next to columns with the operator's own names and a map."""
+    rows = [(None, "p q r s t u"), (None, "k l m n o p"), (7, "aa bb cc dd ee"), (7, "ff gg hh ii jj"), (8, "vv ww xx yy zz"), (9, None), (None, " ")]
+    docs = spark.createDataFrame([(*r, 1, 2, {"k": 3}) for r in rows * 2], SCHEMA + ", set_id int, root int, m map<string, int>")
+    got = near.keep_first(docs)
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(rows[:-1], key=str)
+
+
+@pytest.mark.parametrize("block", [3, 40])
+def test_a_shingle_of_many_sets_is_dealt_in_blocks(spark, monkeypatch, block):
+    """One component of near copies and many single texts, all with one common passage in their prefixes."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "OFTEN", 10**9)
+    rnd = random.Random(1)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join([f"o{k}x{j}" for j in range(rnd.randint(3, 9))] + passage)) for k in range(80)] + [(100 + k, " ".join(passage + [f"e{k}"])) for k in range(30)]
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == slow(rows)

@@ -2,7 +2,6 @@ import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 
 from tickloom.llm import simhash
-from tickloom.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_one_by_one(spark):
     """Each stage against a plain account of what it should do."""
     from tests.llm.test_decontam import slow as slow_hits
-    from tests.llm.test_simhash import slow_components
+    from tests.llm.test_near import slow as slow_near
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -24,9 +23,8 @@ def test_stages_one_by_one(spark):
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in quality.quality(docs).where("kept").collect()}
 
     single = stage["near_duplicates"](spark, good, SF).persist()
-    fps = {r.doc_id: fingerprint(r.text, 5) % 2**64 for r in good.collect()}
     assert single.columns == columns
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(slow_components(fps).values()))
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(slow_near([(r.doc_id, r.text) for r in good.collect()]).values()))
 
     clean = stage["decontaminate"](spark, single, SF).persist()
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]

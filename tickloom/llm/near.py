@@ -1,13 +1,20 @@
-"""Near duplicates by exact Jaccard similarity of word shingles: a prefix-filtered set similarity join.
+"""Near duplicates by similarity of word shingles: SimHash anchors, confirmed exactly, and an exact join for what SimHash can't see.
 
-A text is the set of its shingles' hashes. All sets are ordered alike, rare shingles first. Two sets with a similarity of at least
-4/5 share at least ceil(4/5 n) of the n shingles of either, so they share one among the first n - ceil(4/5 n) + 1 of each:
-only these prefixes are dealt, and no pair is lost. Shingles that a sample of the texts has often come last, by their count, so
-that wording that many texts have hardly stands in prefixes; the order changes the work, never the result.
+Two texts are near duplicates if their sets of shingles have a Jaccard similarity of at least 4/5. Their SimHash fingerprints then differ in some
+ten bits on average, beyond what an anchor covering can reach, so links are found in three rounds, each confirmed on the whole sets:
+
+1. Anchors: fingerprints within 4 bits, by simhash.anchor_links. This joins exact and nearly exact copies, however many there are.
+2. Stars: texts of different components that share a rare shingle are held against the smallest of those that share it.
+3. Pairs of different components that share enough rare shingles to be similar.
+
+Rounds 2 and 3 are a prefix-filtered set similarity join. All sets are ordered alike, rare shingles first. Two sets with a similarity of at
+least 4/5 share at least ceil(4/5 n) of the n shingles of either, so they share one among the first n - ceil(4/5 n) + 1 of each: only these
+prefixes are dealt, and no pair is lost. Shingles that a sample of the texts has often come last, by their count, so that wording that many
+texts have hardly stands in prefixes; the order changes the work, never the result.
 
 A pair is a candidate if it shares enough of its prefixes: behind the prefix that ends first at most ceil(4/5 n) - 1 shingles are left, and 4/9
-of both sizes together must be shared. Candidates are confirmed by the sizes of the whole sets' intersections. First each set is held against the smallest of each group that
-shares a shingle; then only pairs of different components are left, which keeps large clusters from emitting all pairs.
+of both sizes together must be shared. The sets that share a shingle and stand in different components are compared in blocks: a shingle with
+very many sets is dealt as pairs of blocks, so no task holds more than two blocks of them.
 """
 
 from __future__ import annotations
@@ -17,34 +24,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import materialise
-from tickloom.llm.simhash import SEED
+from tickloom.llm.simhash import SEED, anchor_links, fingerprint, hashes, one_of_each, row_key
 from tickloom.operators.graph import components
 
 #: Similarity as a fraction, so that all comparisons are of whole numbers.
 NUM, DEN = 4, 5
 #: One text in so many is looked at for frequent shingles; so often a shingle must occur there; so many are kept at most.
 SAMPLE, OFTEN, FREQUENT = 16, 8, 1_000_000
-#: Comparisons that a task holds at once.
-CELLS = 1 << 18
+#: Comparisons that a task holds at once, and sets of a shingle in a block.
+CELLS, BLOCK = 1 << 18, 1 << 13
+
 
+def distinct(rows: np.ndarray) -> np.ndarray:
+    """Hashes without repeats, in order, as signed numbers."""
+    return np.unique(rows.astype(np.int64))
 
-def shingles(text: str | None, shingle: int) -> np.ndarray:
-    """Hashes of the distinct shingles in order, as signed numbers. Words as in simhash.fingerprint; texts without words have none."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(parts)
-    if len(parts) <= shingle:
-        return np.frombuffer(xxhash.xxh64_digest(joined, SEED), ">i8").astype(np.int64)
-    length = np.fromiter(map(len, parts), np.int64, len(parts))
-    end = np.cumsum(length + 1) - 1
-    digest = xxhash.xxh64_digest
-    rows = b"".join([digest(joined[a:b], SEED) for a, b in zip((end - length)[: 1 - shingle].tolist(), end[shingle - 1 :].tolist(), strict=True)])
-    return np.unique(np.frombuffer(rows, ">i8").astype(np.int64))
+
+def digest(whole: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(whole.tobytes(), SEED), "big", signed=True)
 
 
 def prefix_length(n: int) -> int:
@@ -57,7 +58,7 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), shingle))], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(distinct(hashes(text.as_py(), shingle)))], ["s"])
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     often = some.mapInArrow(scan, "s long").groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(FREQUENT)
@@ -67,23 +68,27 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row (doc_id, set_id, n, prefix) per row of docs (doc_id, text): the hash of its set of shingles, its size and prefix."""
+    """One row (doc_id, set_id, fp, n, prefix) per row of docs (doc_id, text): the hash of its set of shingles, its fingerprint, the set's size and prefix."""
     names, place = frequent(docs, shingle)
+    shared = docs.sparkSession.sparkContext.broadcast((names, place))  # FREQUENT shingles at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, place = shared.value
         for batch in batches:
-            ids, sizes, prefixes = [], [], []
+            ids, fps, sizes, prefixes = [], [], [], []
             for text in batch.column(1):
-                s = shingles(text.as_py(), shingle)
-                ids.append(int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True))
+                found = hashes(text.as_py(), shingle)
+                s = distinct(found)
+                ids.append(digest(s))
+                fps.append(fingerprint(found))
                 sizes.append(len(s))
                 if len(names) and len(s):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     s = s[np.argsort(np.where(names[at] == s, place[at], -1), kind="stable")]
                 prefixes.append(s[: prefix_length(len(s))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "set_id", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "set_id", "fp", "n", "prefix"])
 
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id long, n int, prefix array<long>")
+    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id long, fp long, n int, prefix array<long>")
 
 
 def needed(n1, n2, larger):
@@ -93,20 +98,22 @@ def needed(n1, n2, larger):
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (s, set_id, n, root) that stand in different components and share enough of s to be similar."""
+    """Pairs (a, b) of rows (s, set_id, n, root, members: sets with s) that stand in different components and share enough of s to be similar.
+
+    The sets of a shingle fall into blocks by hash; a set goes to every pair of blocks with its own."""
 
-    def group(ids: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+    def group(ids: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[np.ndarray]:
         if (root == root[0]).all():
             return
         order = np.argsort(n, kind="stable")
-        ids, n, root = ids[order], n[order].astype(np.int64), root[order]
+        ids, n, root, side = ids[order], n[order].astype(np.int64), root[order], side[order]
         upto = np.searchsorted(NUM * n, DEN * n, side="right")  # sizes up to n / similarity
         at = 0
         while at < len(ids) - 1:
             step = max(1, min(len(ids) - at, CELLS // max(1, int(upto[at]) - at)))
             end = int(upto[min(at + step, len(ids)) - 1])
             one, two = slice(at, at + step), slice(at, end)
-            fits = (NUM * n[two][None, :] <= DEN * n[one][:, None]) & (root[one][:, None] != root[two][None, :])
+            fits = (NUM * n[two][None, :] <= DEN * n[one][:, None]) & (root[one][:, None] != root[two][None, :]) & ((side[one][:, None] != side[two][None, :]) | (side[one][:, None] == 2))
             i, j = np.nonzero(np.triu(fits, 1))
             if len(i):
                 yield np.stack([np.minimum(ids[one][i], ids[two][j]), np.maximum(ids[one][i], ids[two][j]), needed(n[one][i], n[two][j], n[two][j]).astype(np.int64)])
@@ -149,66 +156,89 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    dealt = rows.select("s", "set_id", "n", "root").repartition("s").sortWithinPartitions("s")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    own = F.pmod(F.col("set_id"), F.col("blocks"))
+    spread = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    place = F.when(F.col("blocks") == 1, F.col("s")).otherwise(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = spread.select(place.alias("s"), "set_id", "n", "root", side.alias("side")).repartition("s").sortWithinPartitions("s")
     found = dealt.mapInArrow(compare, "a long, b long, need long, n long").groupBy("a", "b", "need").agg(F.sum("n").alias("n"))
     return found.where("n >= need").select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose whole sets are similar enough. first: a doc_id for each set."""
+    """The pairs (a, b) of set ids whose whole sets are similar enough. first: the key of a row for each set."""
     pairs = materialise(pairs, "candidates")
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     wanted = first.join(ends, "set_id", "left_semi").select("first_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), shingle) for t in batch.column(0)]
-            ids = [int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True) for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["set_id", "whole"])
+            for text in batch.column(0):  # a row at a time: sets may be long
+                whole = distinct(hashes(text.as_py(), shingle))
+                yield pa.RecordBatch.from_arrays([pa.array([digest(whole)], pa.int64()), pa.array([whole], pa.list_(pa.int64()))], ["set_id", "whole"])
 
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("first_id"), "left_semi").select("text")
     whole = materialise(texts.mapInArrow(scan, "set_id long, whole array<long>").dropDuplicates(["set_id"]), "shingles")
     left, right = whole.toDF("a", "one"), whole.toDF("b", "two")
     sides = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("one", "two")))
     return materialise(sides.where((NUM + DEN) * F.col("both") >= NUM * (F.size("one") + F.size("two"))).select("a", "b"), "similar")
 
 
-def similar_links(rows: DataFrame, docs: DataFrame, first: DataFrame, shingle: int) -> DataFrame:
-    """Links (a, b) of set ids that connect all sets with a similarity of at least 4/5. rows: set_id, n, prefix, one per set."""
-    spread = rows.select("set_id", "n", F.explode("prefix").alias("s"))
-    by = Window.partitionBy("s")
-    shared = spread.withColumns({"members": F.count("*").over(by), "least": F.min(F.struct("set_id", "n")).over(by)}).where("members > 1").drop("members")
-    shared = materialise(shared, "shared-shingles")
+def anchored(first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of set ids whose fingerprints are equal, or lie in one part of an anchor's group."""
+    fps = materialise(first.groupBy("fp").agg(F.min("set_id").alias("rep")), "distinct-fingerprints")
+    equal = first.join(fps, "fp").where("set_id > rep").select(F.col("rep").alias("a"), F.col("set_id").alias("b"))
+    links = materialise(anchor_links(fps), "anchor-links").distinct()
+    named = links.join(fps.toDF("a", "x"), "a").join(fps.toDF("b", "y"), "b")
+    return equal.union(named.select(F.least("x", "y"), F.greatest("x", "y")).distinct())
+
+
+def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    member = materialise(components(links), "members").toDF("set_id", "above")
+    return rows.drop("root").join(member, "set_id", "left").withColumn("root", F.coalesce("above", "set_id")).drop("above")
+
+
+def similar_links(first: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) of set ids that connect all sets with a similarity of at least 4/5. first: set_id, fp, n, prefix and first_id, one per set."""
+    keys = first.select("set_id", "first_id")
+    links = confirmed(anchored(first), docs, keys, shingle)
+    rooted = materialise(with_roots(first.select("set_id", "n", "prefix"), links), "rooted")
+    spread = rooted.select("set_id", "n", "root", F.explode("prefix").alias("s"))
+    groups = spread.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("set_id", "n", "root")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+    shared = materialise(spread.join(groups.where("low < high").drop("low", "high"), "s"), "shared-shingles")
     sizes = F.col("n").cast("long"), F.col("least.n").cast("long")
     alike = NUM * F.greatest(*sizes) <= DEN * F.least(*sizes)
-    stars = shared.where((F.col("set_id") > F.col("least.set_id")) & alike).select(F.col("least.set_id").alias("a"), F.col("set_id").alias("b"), needed(*sizes, F.greatest(*sizes)).alias("need"))
+    stars = shared.where((F.col("root") != F.col("least.root")) & alike).select(F.col("least.set_id").alias("a"), F.col("set_id").alias("b"), needed(*sizes, F.greatest(*sizes)).alias("need"))
     stars = stars.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")  # all of a pair that share their least; the rest is left to the pairs below
-    stars = confirmed(stars, docs, first, shingle)
-    member = materialise(components(stars), "star-components")
-    placed = shared.drop("least").join(member, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
-    return stars.union(confirmed(cross_pairs(placed), docs, first, shingle))
+    links = links.union(confirmed(stars, docs, keys, shingle))
+    apart = materialise(with_roots(shared.select("s", "set_id", "n", "members"), links), "apart")
+    return links.union(confirmed(cross_pairs(apart), docs, keys, shingle))
+
+
+def _sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """sets() of docs (doc_id: an orderable value that isn't null, text), and one row (set_id, first_id, root) per distinct set."""
+    found = materialise(sets(docs, shingle), "sets")
+    first = materialise(found.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct-sets")
+    return found, with_roots(first.select("set_id", "first_id"), similar_links(first, docs, shingle))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, component_id: the smallest doc_id that is reachable over texts whose sets of shingles
     have a Jaccard similarity of at least 4/5, itself included.
 
-    Null, empty and blank texts have equal sets. A null doc_id counts as larger than any other. Texts of rows that repeat a doc_id may differ.
+    Null, empty and blank texts have equal sets. A null doc_id counts as larger than any other. Texts of rows that repeat a doc_id may
+    differ: each row stands for itself. An empty table gives an empty result; columns may have any names.
     """
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialise(sets(kept, shingle), "sets")
-    first = materialise(found.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct-sets")
-    member = components(similar_links(first, kept, first.select("set_id", "first_id"), shingle))
-    rooted = first.join(member, first.set_id == member.node, "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return found.select("doc_id", "set_id").join(rooted.select("set_id", "root").join(smallest, "root").drop("root"), "set_id").select("doc_id", "component_id")
+    found, rooted = _sets(docs.select(row_key(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle)
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
+    named = rooted.select("set_id", "root").join(smallest, "root").select("set_id", F.col("least.doc_id").alias("component_id"))
+    return found.select("doc_id.doc_id", "set_id").join(named, "set_id").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs of which one stays for each group of near duplicates: the one with the smallest id. Of repeated
-    rows with that id one stays. All columns come back as they were."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    stay = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tl_id")).distinct(), "stay")
-    named = docs.join(stay, F.col(id_col) == F.col("__tl_id"), "left_semi").dropDuplicates([id_col])  # one shuffle for both
-    nameless = docs.where(F.col(id_col).isNull()).join(stay.where("__tl_id IS NULL"), F.col(id_col).eqNullSafe(F.col("__tl_id")), "left_semi")
-    return named.union(nameless.limit(1))
+    """The rows of docs of which one stays for each group of near duplicates: the one with the smallest id, null ids last, and of
+    rows that share it the one with the smallest hash. Ids may be null or repeated: rows are told apart by all their columns. All
+    columns come back as they were."""
+    _, rooted = _sets(docs.select(row_key(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle)
+    return one_of_each(docs, rooted.groupBy("root").agg(F.min("first_id").alias("key")), id_col)

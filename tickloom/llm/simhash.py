@@ -1,15 +1,12 @@
 """SimHash near-duplicate detection by anchor-point covering.
 
-A fingerprint has 64 bits. They are cut into three blocks of 21, 21 and 22 bits; two fingerprints that differ in at most
-`threshold` bits differ in at most threshold // 3 bits of one block. The anchors of a block are the 4096 words of the
+A fingerprint has 64 bits. They are cut into three blocks of 21, 21 and 22 bits; of two fingerprints that differ in at most
+`threshold` bits, two blocks differ in at most 2 * threshold // 3 bits together. The anchors of a block are the 4096 words of the
 binary Golay code of length 23 (its covering radius is 3, so every block value has exactly one *home* anchor within 3
-bits). A fingerprint is replicated to every anchor within 3 + threshold // 3 bits. If x and y link, then in some block y
-lies within that distance of x's home anchor: both stand in that anchor's group. In a group only home members are
-compared with all members, on all 64 bits. So no link is lost, and none is reported that isn't one.
-
-With `pairs` the key is two anchors, of every pair of blocks: two of the three blocks differ in at most 2 * threshold // 3 bits together, so a
-fingerprint goes to every pair of anchors whose distances beyond 3 add up to that at most. That makes some 183 rows a fingerprint in place of
-16 and groups 4096 times smaller: the layout for very many distinct fingerprints. Both find the same links.
+bits); the anchors of a fingerprint are pairs of these, for each pair of blocks. A fingerprint is replicated to every pair whose distances
+beyond 3 add up to 2 * threshold // 3 at most: some 183 rows for 4 bits. If x and y link, then for some pair of blocks y
+stands at x's home anchors. In a group only home members are compared with all members, on all 64 bits. So no link is lost, and none is
+reported that isn't one. There are 3 * 2^24 groups, so that they stay small with very many distinct fingerprints.
 
 A group never emits pairs: each hands on a spanning forest of its own links, at most one row a member. The forests are
 joined by connected components over written tables.
@@ -22,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import materialise
@@ -41,24 +38,27 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _COLUMN = np.arange(8, dtype=np.intp) * 256
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of the whole text over word shingles, as a signed number.
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each word shingle of the whole text, in order, repeats included.
 
-    A-Z are lower-cased, words are runs without blanks, shingles are space-joined and counted as often as they occur.
-    Fewer words than a shingle make one shingle; null, empty and blank texts have fingerprint 0.
+    A-Z are lower-cased, words are runs without blanks, shingles are space-joined. Fewer words than a shingle make one
+    shingle; null, empty and blank texts have none.
     """
     parts = (text or "").encode().lower().split()  # of bytes: ASCII letters and ASCII blanks only
     if not parts:
-        return 0
+        return np.zeros(0, ">i8")
     digest = xxhash.xxh64_digest
+    joined = b" ".join(parts)
     if len(parts) <= shingle:
-        rows = digest(b" ".join(parts), SEED)
-    else:
-        joined = b" ".join(parts)
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        end = np.cumsum(length + 1) - 1
-        rows = b"".join([digest(joined[a:b], SEED) for a, b in zip((end - length)[: 1 - shingle].tolist(), end[shingle - 1 :].tolist(), strict=True)])
-    octets = np.frombuffer(rows, np.uint8).reshape(-1, 8)
+        return np.frombuffer(digest(joined, SEED), ">i8")
+    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    end = np.cumsum(length + 1) - 1
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip((end - length)[: 1 - shingle].tolist(), end[shingle - 1 :].tolist(), strict=True)]), ">i8")
+
+
+def fingerprint(rows: np.ndarray) -> int:
+    """The 64-bit SimHash of hashes, as a signed number; 0 of none."""
+    octets = rows.view(np.uint8).reshape(-1, 8)
     counts = np.bincount((octets + _COLUMN).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(2 * counts > len(octets)).tobytes(), "big", signed=True)
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
+            fps = [fingerprint(hashes(x.as_py(), shingle)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -154,14 +154,8 @@ def block_values(fp: np.ndarray, block: int) -> np.ndarray:
     return (fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
 
 
-def spread_one(anchors: Anchors, fp: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, group and whether it is at home there, for the anchors of one block."""
-    row, anchor, beyond = anchors.near(block_values(fp, block))
-    return row, anchor | block << GOLAY_BITS, beyond == 0
-
-
-def spread_two(anchors: Anchors, fp: np.ndarray, left: int, right: int, beyond: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As spread_one for pairs of anchors that are at most `beyond` beyond the covering radius together."""
+def spread(anchors: Anchors, fp: np.ndarray, left: int, right: int, beyond: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, group and whether it is at home there, for the pairs of anchors of two blocks that are at most `beyond` beyond the covering radius together."""
     r1, a1, b1 = anchors.near(block_values(fp, left))
     r2, a2, b2 = anchors.near(block_values(fp, right))
     n2 = np.bincount(r2, minlength=len(fp))
@@ -173,18 +167,18 @@ def spread_two(anchors: Anchors, fp: np.ndarray, left: int, right: int, beyond:
     return r1[one], a1[one] | a2[two] << GOLAY_BITS | (left + right) << 2 * GOLAY_BITS, b1[one] + b2[two] == 0
 
 
-def anchor_links(distinct: DataFrame, threshold: int = 4, pairs: bool = False) -> DataFrame:
+def anchor_links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within `threshold` bits, as forests of the groups."""
-    beyond = 2 * threshold // len(BLOCKS) if pairs else threshold // len(BLOCKS)
+    beyond = 2 * threshold // len(BLOCKS)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(GOLAY_RADIUS + beyond)
         for batch in batches:
             whole = batch.column(0).to_numpy()
-            for at in range(0, len(whole), 2000):
-                fp = whole[at : at + 2000]
-                parts = [spread_two(anchors, fp, i, j, beyond) for i, j in ((0, 1), (0, 2), (1, 2))] if pairs else [spread_one(anchors, fp, k) for k in range(len(BLOCKS))]
-                for row, group, home in parts:
+            for at in range(0, len(whole), 500):
+                fp = whole[at : at + 500]
+                for i, j in ((0, 1), (0, 2), (1, 2)):
+                    row, group, home = spread(anchors, fp, i, j, beyond)
                     yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +202,27 @@ def anchor_links(distinct: DataFrame, threshold: int = 4, pairs: bool = False) -
         if held:
             yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    spread = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
-    return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
+    return dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+
+
+def row_key(docs: DataFrame, id_col: str) -> Column:
+    """A total order of rows that differ: null ids last, then by id, then by two hashes of the whole row (maps left out)."""
+    own = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.struct(F.col(f"`{id_col}`").isNull().alias("nameless"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(*own).alias("h"), F.xxhash64(F.lit(1), *own).alias("g"))
+
+
+def one_of_each(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
+    """For each key (column key, none twice) the row of docs that has it, or one of the rows if several are equal throughout. All
+    columns as they were. Key and row meet by id and hashes, which the rows are dealt by once for both."""
+    key = row_key(docs, id_col)
+    mine = docs.withColumns({"__tl_i": key["doc_id"], "__tl_h": key["h"], "__tl_g": key["g"]})
+    theirs = keys.select(F.col("key.doc_id").alias("__tl_i2"), F.col("key.h").alias("__tl_h2"), F.col("key.g").alias("__tl_g2"))
+    same = (F.col("__tl_h") == F.col("__tl_h2")) & (F.col("__tl_g") == F.col("__tl_g2")) & F.col("__tl_i").eqNullSafe(F.col("__tl_i2"))
+    return mine.join(theirs, same, "left_semi").dropDuplicates(["__tl_h", "__tl_g", "__tl_i"]).drop("__tl_i", "__tl_h", "__tl_g")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4, pairs: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed), component_id: the smallest doc_id that is reachable over links of
     `threshold` or fewer differing bits, itself included.
 
@@ -222,19 +232,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    member = components(anchor_links(first, threshold, pairs))
+    member = components(anchor_links(first, threshold))
     rooted = first.join(member, first.fp == member.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return fps.join(rooted.select("fp", "root").join(smallest, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4, pairs: bool = False) -> DataFrame:
-    """The rows of docs of which one stays for each group of near duplicates: the one with the smallest id. Of repeated
-    rows with that id one stays. All columns come back as they were."""
-    found = near_duplicates(docs, id_col, text_col, shingle, threshold, pairs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tl_id")).distinct()
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__tl_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = 4) -> DataFrame:
+    """The rows of docs of which one stays for each group of near duplicates: the one with the smallest id, null ids last, and of
+    rows that share it the one with the smallest hash. Ids may be null or repeated: rows are told apart by all their columns. All
+    columns come back as they were."""
+    kept = docs.select(row_key(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = near_duplicates(kept, threshold=threshold, shingle=shingle)
+    return one_of_each(docs, found.select(F.col("component_id").alias("key")).distinct(), id_col)
 
 
 def query(docs: DataFrame) -> DataFrame:
