@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -39,6 +40,48 @@ def test_ranking_puts_the_right_template_first():
         assert scanner.rank(text)[0][1] == name
 
 
+def altered(rnd, name, how):
+    """The template with one word changed, dropped or added that is neither a name nor a number."""
+    words = ls.TEMPLATES[name].split()
+    free = [k for k, w in enumerate(words) if not any(x in ls.NAMES or any(c.isdigit() for c in x) for x, _, _ in ls.normal(w))]
+    k = rnd.choice(free[:1] if how == "first" else free)
+    new = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 12)))
+    words[k : k + (how != "add")] = [] if how == "drop" else [new]
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("name", sorted(ls.TEMPLATES))
+def test_altered_statements_are_found_anywhere(name):
+    """Recall over one changed, dropped or added word, the first one too, at any place of short and long lines."""
+    rnd, scanner, lost, n = random.Random(len(name)), ls.Scanner(ls.TEMPLATES), [], 0
+    for how in ("change", "drop", "add", "first"):
+        for around in (0, 5, 60, 1500):
+            for _ in range(4):
+                prose = ["".join(rnd.choices("etaoinshrdlu", k=rnd.randint(1, 9))) for _ in range(around)]
+                at = rnd.randint(0, around)
+                one = altered(rnd, name, how)
+                text = " ".join([*prose[:at], one, *prose[at:]])
+                found = scanner.scan(text)
+                n += 1
+                if name not in [x["license"] for x in found] and not (found and {x["license"] for x in found} <= {k for k in ls.TEMPLATES if k.split("-")[0] == name.split("-")[0]}):
+                    lost.append((how, around, one[:90], [x["license"] for x in found]))
+    assert len(lost) <= n // 20, lost
+
+
+def test_compression_rejects_what_the_wording_need_not_see():
+    """The gate leaves out most templates of a piece, and prose has none."""
+    scanner = ls.Scanner(ls.TEMPLATES)
+    passed = [sum(share >= ls.GATE for share, _ in scanner.rank(f"Some prose before. {t} And after.")) for t in ls.TEMPLATES.values()]
+    assert sum(passed) < len(passed) ** 2 / 2
+    assert not [x for x in scanner.rank("We warrant that the permit for this copyright was printed last year in the town of the river.") if x[0] >= ls.GATE]
+
+
+def test_linear_in_cues():
+    start = time.perf_counter()
+    assert ls.Scanner(ls.TEMPLATES).scan("licence permit " * 4000) == []
+    assert time.perf_counter() - start < 20
+
+
 def test_test_table_equals_plain_search(spark):
     """The table's statements are whole lines."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -1,11 +1,11 @@
 """License statements by conditional compression.
 
-Lines with a licensing cue, and the lines between two of them that stand at most `gap` apart, are candidate blocks. A block is
-compressed alone and with each template as a raw Zstandard dictionary; the templates are ranked by the share of the
-block's compressed size that knowing them saves, which may be less than nothing on long blocks. Each is then confirmed by its exact wording, wherever one of its first words stands: the block's words and
-the template's are aligned, and a template is found if at least `similarity` of the words on both sides of the aligned stretch are equal and all its
-numbers and names of licenses occur; the words that differ are reported. A block may confirm several templates in
-different places.
+Words and names that announce a license are cues. For each template the text around its cues, 1.5 times the template's length to both sides, is cut
+into overlapping pieces so that a statement with a cue lies whole in one. A piece is compressed alone and with the template as a raw Zstandard dictionary; what that
+saves, as a share of what knowing the template saves on the template itself, ranks the templates. Those of GATE or more of the share are winners, and each
+is confirmed by its exact wording: wherever one of its first words stands, the piece's words and the template's are aligned, and a template is found if at
+least `similarity` of the words on both sides of the aligned stretch are equal and all its numbers and names of licenses occur; the words that differ are
+reported. Where winners overlap, the one with the fewest different words counts. All work is linear in the text: pieces are bounded by the templates.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import difflib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -37,10 +38,12 @@ TEMPLATES = {
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: Parts of words that every statement above has in each of its lines, and words that tell statements apart.
-CUES = ("licen", "permi", "redistribut", "copyright", "warrant", "free software")
+#: Parts of words and names that announce a statement, and words that tell statements apart.
+CUE = re.compile(r"licen[cs]|permi[ts]|redistribut|copyright|warrant|free software|(?-i:\b(?:MIT|GNU|CC|BSD|Apache|Mozilla)\b)", re.I)
 NAMES = frozenset("apache bsd cc by by-nc by-sa by-nd gnu lesser affero general mit mozilla".split())
-SIMILARITY, GAP, LEVEL = 0.8, 2, 9
+#: A template is a winner if a piece gives this share of its own bytes; a statement with four fifths of its words gives more.
+GATE = 0.25
+SIMILARITY, LEVEL = 0.8, 9
 
 _WORD = re.compile(r"[^\s.,;:()\[\]\"'!?]+(?:\.[0-9]+)*")
 
@@ -49,28 +52,23 @@ def normal(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
 
 
-def blocks(text: str, gap: int = GAP) -> list[tuple[int, int]]:
-    """Spans of the candidate blocks: whole lines."""
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    hits = sorted({at for cue in CUES for at in _places(low, cue)})
-    out: list[list[int]] = []
-    for at in hits:
-        start, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-        end = len(text) if end < 0 else end
-        if out and (start <= out[-1][1] or text.count("\n", out[-1][1], start) <= gap):
-            out[-1][1] = max(out[-1][1], end)
+def pieces(text: str, cues: list[int], reach: int) -> list[tuple[int, int]]:
+    """Overlapping spans of at most 3 * reach characters (and whole words) around the cues; each run of `reach` characters around a cue lies in one."""
+    regions: list[list[int]] = []
+    for at in cues:
+        if regions and at - reach <= regions[-1][1]:
+            regions[-1][1] = at + reach
         else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
-
-
-def _places(text: str, cue: str) -> Iterator[int]:
-    at = text.find(cue)
-    while at >= 0:
-        yield at
-        at = text.find(cue, at + len(cue))
+            regions.append([at - reach, at + reach])
+    out = []
+    for a, b in regions:
+        for x in [a] if b - a <= 3 * reach else range(a, b - reach, reach):
+            y = min(len(text), b if b - a <= 3 * reach else x + 2 * reach)
+            x = edge = max(0, x)
+            while 0 < x < len(text) and edge - x < 64 and not text[x - 1].isspace():
+                x -= 1
+            out.append((x, y))
+    return out
 
 
 class Scanner:
@@ -83,13 +81,18 @@ class Scanner:
             known.precompute_compress(level=LEVEL)
             self.given[k] = make(dict_data=known)
         self.words = {k: [w for w, _, _ in normal(t)] for k, t in templates.items()}
+        self.reach = {k: len(t) + len(t) // 2 + 32 for k, t in templates.items()}
         self.similarity = similarity
+        self.worth = {k: self.saved(t, k) for k, t in templates.items()}
+
+    def saved(self, piece: str, name: str) -> int:
+        """Bytes of the compressed piece that knowing the template saves."""
+        raw = piece.encode("utf-8", "replace")
+        return len(self.alone.compress(raw)) - len(self.given[name].compress(raw))
 
-    def rank(self, block: str) -> list[tuple[float, str]]:
-        """(share of the compressed size saved, template), most first."""
-        raw = block.encode()
-        size = len(self.alone.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / size, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+    def rank(self, piece: str) -> list[tuple[float, str]]:
+        """(share of the template's bytes that the piece gives, template), most first."""
+        return sorted(((self.saved(piece, k) / self.worth[k], k) for k in self.given), key=lambda x: (-x[0], x[1]))
 
     def confirm(self, found: list[tuple[str, int, int]], name: str) -> list[tuple[int, int, int, int]]:
         """Places of a template in a block's words: (first word, end, words missing, words extra)."""
@@ -117,25 +120,33 @@ class Scanner:
         return sorted(out)
 
     def scan(self, text: str) -> list[dict]:
+        cues = [m.start() for m in CUE.finditer(text)]
+        if not cues:
+            return []
+        winners: dict[tuple[str, int, int], tuple] = {}
+        for name, reach in self.reach.items():
+            for a, b in pieces(text, cues, reach):
+                share = self.saved(text[a:b], name) / self.worth[name]
+                if share >= GATE:
+                    found = normal(text[a:b])
+                    for first, end, missing, extra in self.confirm(found, name):
+                        key = (name, a + found[first][1], a + found[end - 1][2])
+                        winners[key] = max(winners.get(key, (0.0, 0, 0)), (share, missing, extra))
+        starts: list[int] = []
+        ends: list[int] = []
         out = []
-        for a, b in blocks(text):
-            block = text[a:b]
-            found = normal(block)
-            winners: list[tuple] = []
-            for saved, name in self.rank(block):
-                for first, end, missing, extra in self.confirm(found, name):
-                    winners.append((missing + extra, -(end - first), name, first, end, saved, missing, extra))
-            taken: list[tuple[int, int]] = []
-            for _, _, name, first, end, saved, missing, extra in sorted(winners):
-                if all(end <= x or y <= first for x, y in taken):
-                    taken.append((first, end))
-                    out.append({"license": name, "start": a + found[first][1], "end": a + found[end - 1][2], "saved": saved, "missing": missing, "extra": extra})
+        for (name, start, end), (share, missing, extra) in sorted(winners.items(), key=lambda x: (x[1][1] + x[1][2], x[0][1] - x[0][2], x[0])):
+            k = bisect_left(starts, end)
+            if not k or ends[k - 1] <= start:
+                starts.insert(k, start)
+                ends.insert(k, end)
+                out.append({"license": name, "start": start, "end": end, "saved": share, "missing": missing, "extra": extra})
         return sorted(out, key=lambda x: x["start"])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per statement found: doc_id, license (name of the template), start, end (code points), saved (share of the block's
-    compressed size), missing and extra (words that differ from the template).
+    """One row per statement found: doc_id, license (name of the template), start, end (code points), saved (share of the template's
+    bytes that the text around it gives), missing and extra (words that differ from the template).
 
     Null and empty texts have none; a document may have several; repeated rows give repeated rows; an empty table gives
     an empty result; extra columns are left out. Whole texts are scanned.
