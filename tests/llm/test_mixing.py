@@ -51,7 +51,28 @@ def test_edges(spark, rows):
     check(rows, mixing.mix(docs).collect())
     out = mixing.apply_mix(docs)
     assert out.columns == docs.columns
-    out.collect()
+    check_copies(rows, mixing.mix(docs).collect(), out.collect())
+
+
+def check_copies(rows, mixed, out):
+    """As many rows of each id, source and size as the mix takes whole documents of."""
+    size = lambda t: len((t or "").split())
+    want, got = {}, {}
+    for r in mixed:
+        key = (r.doc_id, r.source, r["size"])
+        want[key] = want.get(key, 0) + (floor(r.taken / r["size"] + 0.5) if r["size"] else 1)
+    for r in out:
+        key = (r.doc_id, r.source, size(r.text))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert {(r.doc_id, r.text, r.source) for r in out} <= set(rows)
+
+
+def test_rows_that_share_an_id_have_times_of_their_own(spark):
+    """One id and null ids over several texts and sources, repeated rows, and rows that the mix can't tell apart."""
+    rows = [(7, "a b c d", "x"), (7, "e f", "x"), (7, "g h", "y"), (None, "i j k", "y"), (None, "l m n", "y"), (None, None, None), (8, "o p q r", "x"), (8, "s t u v", "x"), (8, "s t u v", "x")] + [(k, "w " * (k % 6), "xyz"[k % 3]) for k in range(20, 60)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", size int")
+    check_copies(rows, mixing.mix(docs).collect(), mixing.apply_mix(docs).collect())
 
 
 def test_copies(spark):

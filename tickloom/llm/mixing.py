@@ -20,6 +20,8 @@ from tickloom.llm.common import materialise, n_words
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), Fraction(3, 2), 2
 SEED = "mix"
+#: Sources whose sums (one row each) may go to the driver; more raise.
+MAX_SOURCES = 1_000_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS) -> list[Fraction]:
@@ -45,12 +47,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     """One row per row of docs: doc_id, source, size (words), source_size, target, taken (words taken, repeats counted).
 
     Null texts have size 0 and take nothing; a null source is a source, the last. Repeated rows count each. An empty
-    table gives an empty result; extra columns are left out. Sources are few: their sums (one row each) go to the driver.
+    table gives an empty result; extra columns are left out. The sources' sums, one row each and MAX_SOURCES at most, go to the driver.
     """
     key = _key(F.col("doc_id"), seed)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     base = materialise(base.withColumn("key", key), "mix")
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(sums) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: sources are meant to be few, each with a target of its own")
     sums.sort(key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([x.source_size for x in sums], weights, share, epochs)
     plan = []
@@ -72,15 +76,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix as documents: every row of docs as often as the mix takes it, rounded to whole documents (a document of
     which the last epoch takes at least half counts once more), whole texts, all columns as they were. A row with a
-    text of no words has no share in any budget and stays once."""
-    taken = mix(docs, id_col=id_col, **how)
-    once = taken.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5))).cast("int").alias("__tl_times"))
-    once = once.withColumnRenamed("doc_id", "__tl_id").where("__tl_times > 0")
-    joined = docs.join(once, F.col(id_col).eqNullSafe(F.col("__tl_id")))
-    return joined.withColumn("__tl_copy", F.explode(F.sequence(F.lit(1), F.col("__tl_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text of no words has no share in any budget and stays once.
+
+    Ids may be null or repeated: a row's times are found by its id, words and source, and of rows that agree in all three, which the
+    mix can't tell apart, each gets its own in turn."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).cast("int")
+    row = ("__tl_id", "__tl_source", "__tl_size")
+    counts = taken.select(F.col("doc_id").alias("__tl_id"), F.col("source").alias("__tl_source"), F.col("size").alias("__tl_size"), times.alias("__tl_times"))
+    counts = counts.groupBy(*row, "__tl_times").agg(F.count("*").alias("__tl_rows"))  # (times, how many rows): a few per row
+    counts = counts.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("__tl_times", "__tl_rows"))).alias("__tl_plan")).withColumnsRenamed({c: f"{c}2" for c in row})
+    own = docs.withColumns({"__tl_id": F.col(id_col), "__tl_source": F.col(source_col), "__tl_size": n_words(F.col(text_col))})
+    same = F.col("__tl_id").eqNullSafe(F.col("__tl_id2")) & F.col("__tl_source").eqNullSafe(F.col("__tl_source2")) & (F.col("__tl_size") == F.col("__tl_size2"))
+    joined = own.join(counts, same)
+    several = F.size("__tl_plan") > 1  # rows of one id, source and size that are taken unequally often
+    plain = joined.where(~several).withColumn("__tl_times", F.col("__tl_plan")[0]["__tl_times"])
+    turn = F.row_number().over(Window.partitionBy(*row).orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("times"))
+    pick = F.aggregate("__tl_plan", start, lambda a, x: F.when(a["n"] >= F.col("__tl_turn"), a).otherwise(F.struct((a["n"] + x["__tl_rows"]).alias("n"), x["__tl_times"].alias("times"))))["times"]
+    mixed = joined.where(several).withColumn("__tl_turn", turn).withColumn("__tl_times", pick).drop("__tl_turn")
+    out = plain.unionByName(mixed).where("__tl_times > 0")
+    return out.withColumn("__tl_copy", F.explode(F.sequence(F.lit(1), F.col("__tl_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
