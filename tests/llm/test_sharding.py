@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import sharding
 
@@ -52,6 +53,50 @@ def test_planes_separate_metadata(spark):
     assert {(r.doc_id % 2, r.shard) for r in got} == {(1, 0), (0, 1)}
 
 
+def slow_tree(rows, shards):
+    """Leaf of each row (coordinates, hash, id, size) by plain recursion."""
+    extent = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) for d in range(len(rows[0][0]))]
+    out = {}
+
+    def go(part, base, k):
+        if k == 1 or not part:
+            out.update({r[2]: base for r in part})
+            return
+        width = [(max(r[0][d] for r in part) - min(r[0][d] for r in part)) / extent[d] if extent[d] else 0 for d in range(len(extent))]
+        d = width.index(max(width))
+        part = sorted(part, key=lambda r: (r[0][d], r[1], r[2], r[3]))
+        goal, upto, best = sum(r[3] for r in part) * (k // 2) / k, 0, []
+        for n, r in enumerate(part):
+            upto += r[3]
+            best.append((abs(upto - goal), n))
+        n = min(best)[1] + 1
+        go(part[:n], base, k // 2)
+        go(part[n:], base + k // 2, k - k // 2)
+
+    go(rows, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 5, 8, 40])
+def test_equals_plain_recursion(spark, shards):
+    """The whole tree, with sources whose first bytes are equal."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("source", F.concat(F.lit("https://host.example/"), F.col("source")))
+    meta = sharding.metadata(docs).collect()
+    assert len({r.d2 for r in meta}) == docs.select("source").distinct().count()
+    want = slow_tree([((r.d0, r.d1, r.d2), r.h, r.doc_id, r["size"]) for r in meta], shards)
+    assert {r.doc_id: r.shard for r in sharding.shard(docs, shards=shards).collect()} == want
+
+
+def test_groups_of_equal_texts(spark):
+    """Of one language and source: a cut falls into at most as many groups as there are cuts."""
+    rows = [(k, f"text number {k % 25} " * (k % 25 + 1), "en", "s") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    where = defaultdict(set)
+    for r in sharding.shard(docs, shards=8).collect():
+        where[rows[r.doc_id][1]].add(r.shard)
+    assert sum(len(x) - 1 for x in where.values()) <= 7
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert sharding.query(spark.createDataFrame([], schema)).collect() == []

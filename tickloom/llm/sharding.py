@@ -2,15 +2,16 @@
 
 The rows' metadata (never their texts) go through one level of the tree at a time. A node that must still give k leaves is
 split where k // 2 of its k-th parts of bytes lie below, along the dimension in which it is widest; each dimension is
-scaled by its extent over all rows. Rows with equal coordinates are ordered by a hash of their text and then by id, so a
-dimension with few values can be cut anywhere and equal texts lie together. The weighted median is exact and found
-without gathering a node: the rows are range-partitioned by node and coordinate, the bytes of every range are summed
-(one number a range and node goes to the driver), and only the range in which the cut falls is prefixed row by row.
+scaled by its extent over all rows. A string's coordinate is the rank of its value among the distinct values, so all of it counts. Rows with equal
+coordinates are ordered by a hash of their text and then by id, so a dimension with few values can be cut anywhere. The weighted median is exact and found
+without gathering a node: the rows are range-partitioned by node and coordinate, the bytes of every range are summed and prefixed, and only the range in
+which a node's cut falls is prefixed row by row. Nodes, sums and cuts are tables, joined to the rows: a tree of very many leaves is no long expression,
+and nothing goes to the driver but the number of the nodes that are still open.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,102 +19,76 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import materialise
 
 
-@dataclass(frozen=True)
-class Cut:
-    """Rows of `node` whose (coordinate of `dim`, hash, id) is at most `upto` go to `below`, others to `above`."""
-
-    node: int
-    dim: str
-    upto: tuple
-    below: int
-    above: int
-
-
-def _number(column: Column) -> Column:
-    """The first seven bytes of a string as a number, in the strings' order; null comes first."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(F.encode(column.cast("string"), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def _ranks(docs: DataFrame, column: str) -> DataFrame:
+    """(value, rank) of the distinct values in order, null first: counted per range of values, then within it."""
+    values = docs.select(F.col(column).cast("string").alias("value")).distinct()
+    dealt = materialise(values.repartitionByRange(F.col("value").asc_nulls_first()).withColumn("pid", F.spark_partition_id()), "values")
+    counts = dealt.groupBy("pid").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row a range
+    inside = F.row_number().over(Window.partitionBy("pid").orderBy(F.col("value").asc_nulls_first()))
+    return dealt.withColumn("at", inside).join(before, "pid").select("value", (F.col("before") + F.col("at")).cast("double").alias("rank"))
 
 
 def metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, a hash of the text, and one coordinate a dimension: the size
-    (logarithm) and the named columns."""
+    (logarithm) and the named columns, numbers as they are and strings by rank; null comes first."""
     text = F.col(text_col)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    named = [(_number(F.col(c)) if docs.schema[c].dataType.simpleString() == "string" else F.coalesce(F.col(c).cast("double"), F.lit(-1.0))).alias(f"d{k + 1}") for k, c in enumerate(dims)]
-    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.log2(size).alias("d0"), *named)
+    strings = [docs.schema[c].dataType.simpleString() == "string" for c in dims]
+    named = [(F.col(c) if s else F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))).alias(f"d{k + 1}") for k, (c, s) in enumerate(zip(dims, strings, strict=True))]
+    out = materialise(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.log2(size).alias("d0"), *named), "values")
+    for k, s in enumerate(strings):
+        if s:
+            ranked = out.join(_ranks(out, f"d{k + 1}"), F.col(f"d{k + 1}").eqNullSafe(F.col("value")))
+            out = ranked.withColumn(f"d{k + 1}", F.col("rank")).drop("value", "rank")
+    return out
 
 
 def _row_key(dim: str) -> list[Column]:
     return [F.col(dim), F.col("h"), F.col("doc_id").asc_nulls_first(), F.col("size")]
 
 
-def _at_most(cut: Cut, kind: str) -> Column:
-    """The row's key is at most the cut's, null ids first."""
-    v, h, i, s = cut.upto
-    lit = F.lit(i).cast(kind)
-    below_id = F.col("doc_id").isNull() if i is None else F.col("doc_id").isNull() | (F.col("doc_id") < lit)
-    same_id = F.col("doc_id").isNull() if i is None else F.col("doc_id").eqNullSafe(lit)
-    less = F.lit(False) if i is None else below_id
-    return (F.col(cut.dim) < v) | ((F.col(cut.dim) == v) & ((F.col("h") < h) | ((F.col("h") == h) & (less | (same_id & (F.col("size") <= s))))))
-
-
-def descend(meta: DataFrame, cuts: list[Cut], kind: str) -> Column:
-    """The node of a row after the given cuts, which go from the root down."""
-    node = F.lit(1)
-    for cut in cuts:
-        node = F.when(node == cut.node, F.when(_at_most(cut, kind), F.lit(cut.below)).otherwise(F.lit(cut.above))).otherwise(node)
-    return node
-
-
-def split(meta: DataFrame, leaves: int, dims: list[str]) -> tuple[DataFrame, dict[int, int]]:
-    """meta with a column node, and the leaf number of every node."""
-    kind = meta.schema["doc_id"].dataType.simpleString()
-    extent: dict[str, float] = {}
-    wanted, done = {1: leaves}, {}
-    now = meta.withColumn("node", F.lit(1))
-    while wanted:
-        for node, k in [x for x in wanted.items() if x[1] == 1]:
-            done[node] = wanted.pop(node)
-        if not wanted:
-            break
-        stats = {r["node"]: r for r in now.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))]).collect()}
-        extent = extent or {d: max((r[f"max_{d}"] - r[f"min_{d}"] for r in stats.values()), default=0) for d in dims}
-        widest = {n: max(dims, key=lambda d: ((r[f"max_{d}"] - r[f"min_{d}"]) / extent[d] if extent[d] else 0, -dims.index(d))) for n, r in stats.items()}
+def _at_most(upto: str) -> Column:
+    """The row's key is at most the cut's (a struct v, h, doc_id, size), null ids first."""
+    cut = {c: F.col(f"{upto}.{c}") for c in ("v", "h", "doc_id", "size")}
+    own, theirs = F.col("doc_id"), cut["doc_id"]
+    less = own.isNull() & theirs.isNotNull() | F.coalesce(own < theirs, F.lit(False))
+    by_id = less | own.eqNullSafe(theirs) & (F.col("size") <= cut["size"])
+    return (F.col("v") < cut["v"]) | (F.col("v") == cut["v"]) & ((F.col("h") < cut["h"]) | (F.col("h") == cut["h"]) & by_id)
+
+
+def split(meta: DataFrame, leaves: int, dims: list[str]) -> DataFrame:
+    """meta with columns leaf (0 to leaves - 1, from below), v (the coordinate of the last cut) and pid (the range of the last level).
+
+    A node is (base, k): it gives leaves base to base + k - 1."""
+    now = meta.withColumns({"base": F.lit(0).cast("long"), "k": F.lit(leaves).cast("long")})
+    whole = meta.agg(*[(F.max(d) - F.min(d)).alias(f"e_{d}") for d in dims])  # one row
+    extent = {d: float(e or 0) if abs(float(e or 0)) != float("inf") else 0.0 for d, e in zip(dims, whole.first(), strict=True)}
+    for _ in range(ceil(log2(leaves)) if leaves > 1 else 0):
+        node = ["base", "k"]
+        width = lambda d: (F.max(d) - F.min(d)) / extent[d] if extent[d] else F.lit(0.0)
+        widest = F.greatest(*[F.struct(width(d).alias("w"), F.lit(-n).alias("n")) for n, d in enumerate(dims)])
+        nodes = now.where("k > 1").groupBy(*node).agg(F.sum("size").alias("bytes"), widest["n"].alias("dim"))
+        nodes = materialise(nodes.withColumn("goal", F.col("bytes") * F.floor(F.col("k") / 2) / F.col("k")), "nodes")
         which = F.lit(0.0)
-        for n, d in widest.items():
-            which = F.when(F.col("node") == n, F.col(d)).otherwise(which)
-        key = [F.col("node"), *_row_key("v")]
-        dealt = now.withColumn("v", which).repartitionByRange(*key).sortWithinPartitions(*key).withColumn("pid", F.spark_partition_id())
-        now = materialise(dealt, "kd")
-        sums = sorted((r["node"], r["pid"], r["bytes"]) for r in now.groupBy("node", "pid").agg(F.sum("size").alias("bytes")).collect())
-        seek: dict[int, tuple[int, int]] = {}
-        goal = {n: stats[n]["bytes"] * (k // 2) / k for n, k in wanted.items() if n in stats}
-        for n, t in goal.items():
-            upto = 0
-            for node, pid, b in sums:
-                if node == n:
-                    if upto + b >= t and n not in seek:
-                        seek[n] = (pid, upto)
-                    upto += b
-        where, start, target = F.lit(False), F.lit(0), F.lit(0.0)
-        for n, (pid, upto) in seek.items():
-            where = where | ((F.col("node") == n) & (F.col("pid") == pid))
-            start = F.when(F.col("node") == n, F.lit(upto)).otherwise(start)
-            target = F.when(F.col("node") == n, F.lit(float(goal[n]))).otherwise(target)
-        run = F.sum("size").over(Window.partitionBy("node").orderBy(*_row_key("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        upto = now.where(where).withColumn("off", F.abs(run + start - target))
-        best = upto.groupBy("node").agg(F.min_by(F.struct("v", "h", "doc_id", "size"), F.struct("off", "v", "h", "doc_id", "size")).alias("k")).collect()
-        cuts, nxt = [], {}
-        for r in best:
-            n, k = r["node"], wanted[r["node"]]
-            cuts.append(Cut(n, "v", tuple(r["k"]), 2 * n, 2 * n + 1))
-            nxt |= {2 * n: k // 2, 2 * n + 1: k - k // 2}
-        node = F.col("node")
-        for cut in cuts:
-            node = F.when(F.col("node") == cut.node, F.when(_at_most(cut, kind), F.lit(cut.below)).otherwise(F.lit(cut.above))).otherwise(node)
-        now = now.withColumn("node", node)
-        wanted = nxt
-    return now, {n: k for k, n in enumerate(sorted(done, key=lambda n: bin(n)[3:]))}
+        for n, d in enumerate(dims):
+            which = F.when(F.col("dim") == -n, F.col(d)).otherwise(which)
+        named = now.drop("v", "pid").join(nodes.select(*node, "dim"), node, "left").withColumn("v", F.when(F.col("k") > 1, which).otherwise(0.0)).drop("dim")
+        key = [F.col("base"), *_row_key("v")]
+        now = materialise(named.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("pid", F.spark_partition_id()), "kd")
+        sums = now.where("k > 1").groupBy(*node, "pid").agg(F.sum("size").alias("bytes"))  # a row a range and node
+        run = F.sum("bytes").over(Window.partitionBy(*node).orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        sums = sums.withColumn("upto", run).join(nodes.select(*node, "goal"), node).where("upto >= goal")
+        seek = sums.groupBy(*node).agg(F.min_by(F.struct("pid", (F.col("upto") - F.col("bytes")).alias("before"), "goal"), "pid").alias("s")).select(*node, "s.*")
+        inside = F.sum("size").over(Window.partitionBy(*node).orderBy(*_row_key("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        near = now.join(seek, [*node, "pid"]).withColumn("off", F.abs(F.col("before") + inside - F.col("goal")))
+        cuts = near.groupBy(*node).agg(F.min_by(F.struct("v", "h", "doc_id", "size"), F.struct("off", "v", "h", "doc_id", "size")).alias("cut"))
+        cuts = materialise(cuts, "cuts")
+        below = F.floor(F.col("k") / 2)
+        now = now.join(cuts, node, "left").withColumn("low", _at_most("cut"))
+        moved = {"base": F.when(F.col("cut").isNotNull() & ~F.col("low"), F.col("base") + below).otherwise(F.col("base")), "k": F.when(F.col("cut").isNull(), F.col("k")).when(F.col("low"), below).otherwise(F.col("k") - below)}
+        now = now.withColumns(moved).drop("cut", "low")
+    return now.withColumnRenamed("base", "leaf").drop("k")
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -121,21 +96,19 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     shard should have, from which the number follows.
 
     Shards' bytes differ by little more than one document. Slots count from 0 in each shard without gaps, in the order
-    of the last cut. A null text has size 1 and the checksum of the empty text; null metadata come first; repeated
-    rows are rows of their own and share a shard (equal keys aren't cut). An empty table gives an empty result. Extra columns are left out.
+    of the last cut. Equal texts of one language and source lie next to one another in that order, but where bytes must balance a cut may fall
+    between two of them; equal texts with other metadata may lie anywhere. A null text has size 1 and the checksum of the empty text; null metadata
+    come first; repeated rows are rows of their own and share a shard (equal keys aren't cut). An empty table gives an empty result. Extra columns
+    are left out.
     """
     meta = materialise(metadata(docs, id_col, text_col, dims), "metadata")
     if shards is None:
         total = meta.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // (target_bytes or 1 << 27)))
-    named = [f"d{k}" for k in range(len(dims) + 1)]
-    tree, leaf = split(meta, shards, named)
-    if not leaf or shards == 1:
-        tree = tree.withColumn("v", F.lit(0.0)).withColumn("pid", F.spark_partition_id())
-    number = F.lit(0)
-    for n, k in leaf.items():
-        number = F.when(F.col("node") == n, F.lit(k)).otherwise(number)
-    placed = materialise(tree.withColumn("shard", number.cast("int")), "placed")
+    tree = split(meta, shards, [f"d{k}" for k in range(len(dims) + 1)])
+    if shards == 1:
+        tree = tree.withColumns({"v": F.lit(0.0), "pid": F.spark_partition_id()})
+    placed = materialise(tree.withColumn("shard", F.col("leaf").cast("int")).select("doc_id", "size", "text_crc32", "h", "v", "pid", "shard"), "placed")
     counts = placed.groupBy("shard", "pid").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("shard", "pid").orderBy(*_row_key("v")))
