@@ -44,7 +44,7 @@ def case(seed=1):
     return [*docs, (100, None), (101, ""), (102, "..."), (103, "a " * 5000)], items
 
 
-@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 400])
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 1])
 def test_equals_brute_force(spark, block_bytes):
     docs, items = case()
     found = decontam.contamination(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes)
@@ -55,16 +55,29 @@ def test_dropping_and_cutting(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda."
     docs = spark.createDataFrame([(1, f"Before. {item.upper()} After!", "x"), (2, "nothing here", "y"), (3, None, "z"), (3, None, "z")], DOCS + ", hits string")
     items = spark.createDataFrame([(7, item)], ITEMS)
-    for size in (decontam.BLOCK_BYTES, 40):
+    for size in (decontam.BLOCK_BYTES, 1):
         kept = decontam.drop_contaminated(docs, items, block_bytes=size)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 3]
         cut = decontam.drop_contaminated(docs, items, block_bytes=size, spans_only=True)
         assert {r.doc_id: r.text for r in cut.collect()} == {1: "Before. . After!", 2: "nothing here", 3: None}
 
 
-def test_edges(spark):
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 1])
+def test_edges(spark, block_bytes):
+    """Null texts and items, long texts, repeated rows and clashing columns, in either layout."""
     docs, items = spark.createDataFrame([(1, "a b c")], DOCS), spark.createDataFrame([(1, "a b c")], ITEMS)
     none = spark.createDataFrame([], ITEMS)
-    assert decontam.contamination(spark.createDataFrame([], DOCS), items).collect() == []
-    assert [(r.n_words, r.n_hit) for r in decontam.contamination(docs, none).collect()] == [(3, 0)]
-    assert [(r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(docs, items).collect()] == [(3, 3, 1)]
+    assert decontam.contamination(spark.createDataFrame([], DOCS), items, block_bytes=block_bytes).collect() == []
+    assert [(r.n_words, r.n_hit) for r in decontam.contamination(docs, none, block_bytes=block_bytes).collect()] == [(3, 0)]
+    assert [(r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(docs, items, block_bytes=block_bytes).collect()] == [(3, 3, 1)]
+    rows = [(None, None, 1), (2, "x " * 50_000 + "a b c", 2), (2, "x " * 50_000 + "a b c", 2), (None, "a b", 3), (5, "", 4)]
+    docs = spark.createDataFrame(rows, DOCS + ", hits int").withColumnRenamed("hits", "row")
+    items = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None), (None, "a b"), (7, "...")], ITEMS)
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(docs, items, block_bytes=block_bytes).collect()))
+    assert got == [(0, 0, 0, 0), (0, 2, 2, 1), (2, 50_003, 3, 2), (2, 50_003, 3, 2), (5, 0, 0, 0)]
+    kept = decontam.drop_contaminated(docs, items, block_bytes=block_bytes)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (5, "")]
+
+
+def test_table_of_bits_follows_the_windows():
+    assert decontam.table_bits(0) == 16 and decontam.table_bits(1 << 20) == 25 and decontam.table_bits(1 << 40) == decontam.FILTER_BITS

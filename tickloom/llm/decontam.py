@@ -1,22 +1,25 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
 Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters. A test item's windows are
-its runs of `n` consecutive words; an item of fewer words (not none) is one window. Every task hashes the windows of
-the benchmark once, rolls the same hash over the whole of each training text, looks it up in a bit table and verifies
-each hit word by word. The benchmark is broadcast only if its texts take up at most `block_bytes`; a larger one is
-dealt into blocks of that size by hash of the window's item, each is scanned in turn, and the hits of a document are
-joined by its row. Nothing is sampled or cut.
+its runs of `n` consecutive words; an item of fewer words (not none) is one window. The same hash is rolled over the words of each training
+text and of the benchmark, and looked up in a table of bits sized by the number of windows.
+
+A benchmark whose texts take up at most `block_bytes` is broadcast: each worker keeps its window hashes in one sorted array beside its normalised words
+(some four times the texts, whatever the number of windows) and verifies each hit word by word. A larger one stays a table: its
+windows are hashed in Spark, only the bits go to the driver and to the tasks (FILTER_BITS at most), and only the text windows that the bits let pass are joined
+with it, by two hashes of 64 bits each. Nothing is sampled or cut.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,9 @@ from tickloom.llm.common import materialise
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {ord(x): ord(x) + 32 for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
-_FILTER_BITS = 20
+BLOCK_BYTES = 8 << 20
+#: Bits of the table at most, as a power of two; bits a window, as long as that allows.
+FILTER_BITS, BITS_A_WINDOW = 28, 16
 
 
 def lower_ascii(text: str) -> str:
@@ -38,59 +42,160 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(lower_ascii(text)) if text else []
 
 
+def word_hashes(found: list[str], seed: int = 0) -> np.ndarray:
+    """The same in every process."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in found), np.uint64, len(found))
+
+
+def roll(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every window of `size` words."""
+    out = hashes[: len(hashes) - size + 1].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, size):
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+            out += hashes[k : len(hashes) - size + 1 + k]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def table_bits(windows: int) -> int:
+    return min(FILTER_BITS, max(16, int(windows * BITS_A_WINDOW).bit_length()))
+
+
+def bit_places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Windows:
-    """The hash set of the windows of (item_id, text) rows."""
+    """The windows of (item_id, text) rows: per size the sorted hashes, and for each the item and where its words begin."""
 
     def __init__(self, items: list[tuple], n: int) -> None:
-        self.items: dict[tuple[str, ...], set[str]] = defaultdict(set)
+        self.names = sorted({"" if i is None else str(i) for i, _ in items})
+        at = {name: k for k, name in enumerate(self.names)}
+        parts, length, starts = [], 0, []
+        sizes: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for item, text in items:
             found = words_of(text)
-            for at in range(max(1, len(found) - n + 1) if found else 0):
-                self.items[tuple(found[at : at + n])].add("" if item is None else str(item))
-        self.by_length: dict[int, np.ndarray] = {}
-        for size in sorted({len(w) for w in self.items}):
-            hashes = np.array([self._roll(self._hashes(w), size)[0] for w in self.items if len(w) == size], np.uint64)
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            bits[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-            self.by_length[size] = bits
-
-    @staticmethod
-    def _hashes(found: list[str] | tuple[str, ...]) -> np.ndarray:
-        return np.fromiter(map(hash, found), np.int64, len(found)).view(np.uint64)
-
-    @staticmethod
-    def _roll(hashes: np.ndarray, size: int) -> np.ndarray:
-        """A hash of every window of `size` words."""
-        out = hashes[: len(hashes) - size + 1].copy()
-        with np.errstate(over="ignore"):
-            for k in range(1, size):
-                out *= np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(29)
-                out += hashes[k : len(hashes) - size + 1 + k]
-            out *= np.uint64(0x9E3779B97F4A7C15)
-        return out
+            if found:
+                size = min(n, len(found))
+                place = len(starts) + np.arange(len(found) - size + 1)
+                sizes.setdefault(size, []).append((roll(word_hashes(found), size), place, at["" if item is None else str(item)]))
+                for w in found:
+                    starts.append(length)
+                    parts.append(w)
+                    length += len(w) + 1
+        self.words, self.starts = " ".join(parts), np.array([*starts, length], np.int64)
+        self.by_size = {}
+        for size, rows in sorted(sizes.items()):
+            hashes = np.concatenate([h for h, _, _ in rows])
+            order = np.argsort(hashes, kind="stable")
+            item = np.concatenate([np.full(len(p), i, np.int32) for _, p, i in rows])[order]
+            bits = table_bits(len(hashes))
+            table = np.zeros(1 << bits, bool)
+            table[bit_places(hashes, bits)] = True
+            self.by_size[size] = (hashes[order], np.concatenate([p for _, p, _ in rows])[order], item, bits, table)
 
     def scan(self, found: list[str]) -> list[tuple[int, int, set[str]]]:
         """(first word, number of words, items) of each occurrence of a window."""
         out = []
-        if found and self.by_length:
-            hashes = self._hashes(found)
-            for size, bits in self.by_length.items():
-                if len(found) >= size:
-                    for at in np.flatnonzero(bits[self._roll(hashes, size) >> np.uint64(64 - _FILTER_BITS)]).tolist():
-                        if (items := self.items.get(tuple(found[at : at + size]))) is not None:
-                            out.append((at, size, items))
+        if found and self.by_size:
+            own = word_hashes(found)
+            for size, (hashes, place, item, bits, table) in self.by_size.items():
+                if len(found) < size:
+                    continue
+                rolled = roll(own, size)
+                for at in np.flatnonzero(table[bit_places(rolled, bits)]).tolist():
+                    low, high = np.searchsorted(hashes, rolled[at], "left"), np.searchsorted(hashes, rolled[at], "right")
+                    if low == high:
+                        continue
+                    text = " ".join(found[at : at + size])
+                    same = {self.names[item[k]] for k in range(low, high) if self.words[self.starts[place[k]] : self.starts[place[k] + size] - 1] == text}
+                    if same:
+                        out.append((at, size, same))
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's rows in blocks whose size has been checked."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    total, widest = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0)), F.coalesce(F.max(F.octet_length("t")), F.lit(0))).first()
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [tuple(x) for x in part.collect()]
+class Benchmark:
+    """Rows of a benchmark on their way to the workers; each worker builds the windows once."""
+
+    def __init__(self, items: list[tuple], n: int) -> None:
+        self.items, self.n = items, n
+        self.built: Windows | None = None
+
+    def windows(self) -> Windows:
+        if self.built is None:
+            self.built = Windows(self.items, self.n)
+        return self.built
+
+
+def _small(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int) -> Benchmark | None:
+    """The benchmark's distinct rows, if their texts take up at most block_bytes."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
+    return Benchmark([tuple(x) for x in rows.collect()], n) if total <= block_bytes else None
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
+    """(size, h, g, item) of the windows of all items: two hashes of their words."""
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = words_of(text)
+                if found:
+                    size = min(n, len(found))
+                    h, g = (roll(word_hashes(found, seed), size).view(np.int64) for seed in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), size, np.int32)), pa.array(h), pa.array(g), pa.array([item] * len(h), pa.string())], ["size", "h", "g", "item"])
+
+    return rows.mapInArrow(scan, "size int, h long, g long, item string").distinct()
+
+
+def _filters(windows: DataFrame) -> dict[int, tuple[int, bytes]]:
+    """Per size: the number of bits, and the table, packed; together 2^FILTER_BITS bits a size at most. Summed up on the executors."""
+    out = {}
+    for size, n in sorted(windows.groupBy("size").agg(F.count("*")).collect()):
+        bits = table_bits(n)
+        place = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits)) + 1
+        parts = windows.where(F.col("size") == size).select(F.call_function("bitmap_bucket_number", place).alias("k"), F.call_function("bitmap_bit_position", place).alias("p"))
+        table = bytearray(max(1 << bits >> 3, 4096))
+        for k, bitmap in parts.groupBy("k").agg(F.call_function("bitmap_construct_agg", F.col("p"))).toLocalIterator():
+            table[(k - 1) * 4096 : k * 4096] = bitmap
+        out[size] = (bits, bytes(table))
+    return out
+
+
+def _large_hits(docs: DataFrame, benchmark: DataFrame, n: int, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n_words) of docs (doc_id, text), and (row, at, n, item) of their hits, for a benchmark of any size."""
+    windows = materialise(benchmark_windows(benchmark, item_col, item_text_col, n), "windows")
+    shared = docs.sparkSession.sparkContext.broadcast(_filters(windows))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {size: (bits, np.frombuffer(raw, np.uint8)) for size, (bits, raw) in shared.value.items()}
+        cell = pa.struct([("size", pa.int32()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+        for batch in batches:
+            total, passed = [], []
+            for text in batch.column(1):
+                found, rows = words_of(text.as_py()), []
+                own = word_hashes(found) if found else None
+                for size, (bits, table) in tables.items():
+                    if len(found) >= size:
+                        h = roll(own, size)
+                        place = bit_places(h, bits)
+                        at = np.flatnonzero(table[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                        if len(at):
+                            g = roll(word_hashes(found, 1), size)
+                            rows += [{"size": size, "at": k, "h": x, "g": y} for k, x, y in zip(at.tolist(), h[at].view(np.int64).tolist(), g[at].view(np.int64).tolist(), strict=True)]
+                total.append(len(found))
+                passed.append(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(passed, pa.list_(cell))], ["doc_id", "n_words", "passed"])
+
+    scanned = docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, passed array<struct<size: int, at: int, h: bigint, g: bigint>>")
+    rows = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    spread = rows.select("row", F.explode("passed").alias("p")).select("row", "p.*")
+    return rows.drop("passed"), spread.join(windows, ["size", "h", "g"]).select("row", "at", F.col("size").alias("n"), "item")
 
 
 def scan_windows(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -99,38 +204,29 @@ def scan_windows(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col:
     Null, empty and wordless texts have no words and no hits; null and wordless items have no windows; a null item_id
     counts as the empty string. Repeated items are one. An empty benchmark hits nothing; extra columns are left out.
     """
-    spark = docs.sparkSession
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_words long, hits array<struct<at: int, n: int>>, items array<string>"
-
-    def scanned(frame: DataFrame, items: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, n)
-            hit = pa.struct([("at", pa.int32()), ("n", pa.int32())])
-            for batch in batches:
-                total, hits, named = [], [], []
-                for text in batch.column(1):
-                    found = words_of(text.as_py())
-                    met = windows.scan(found)
-                    total.append(len(found))
-                    hits.append([{"at": at, "n": size} for at, size, _ in met])
-                    named.append(sorted(set().union(*(x for _, _, x in met))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(hits, pa.list_(hit)), pa.array(named, pa.list_(pa.string())), *batch.columns[2:]], [*("doc_id", "n_words", "hits", "items"), *batch.schema.names[2:]])
-
-        return frame.mapInArrow(scan, schema + (", row long" if "row" in frame.columns else ""))
-
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return scanned(kept, first)
-    numbered = materialise(kept.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    parts = scanned(numbered, first).union(scanned(numbered, second))
-    for block in blocks:
-        parts = parts.union(scanned(numbered, block))
-    joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return joined.drop("row")
+    small = _small(benchmark, item_col, item_text_col, n, block_bytes)
+    if small is None:
+        rows, hits = _large_hits(kept, benchmark, n, item_col, item_text_col)
+        found = hits.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("hits"), F.sort_array(F.collect_set("item")).alias("items"))
+        none = {"hits": "array<struct<at: int, n: int>>", "items": "array<string>"}
+        return rows.join(found, "row", "left").select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()])
+    shared = docs.sparkSession.sparkContext.broadcast(small)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = shared.value.windows()
+        hit = pa.struct([("at", pa.int32()), ("n", pa.int32())])
+        for batch in batches:
+            total, hits, named = [], [], []
+            for text in batch.column(1):
+                found = words_of(text.as_py())
+                met = windows.scan(found)
+                total.append(len(found))
+                hits.append([{"at": at, "n": size} for at, size, _ in met])
+                named.append(sorted(set().union(*(x for _, _, x in met))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(hits, pa.list_(hit)), pa.array(named, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+
+    return kept.mapInArrow(scan, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_words long, hits array<struct<at: int, n: int>>, items array<string>")
 
 
 def covered(hits: list, total: int) -> int:
@@ -161,26 +257,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, **name
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, spans_only: bool = False) -> DataFrame:
     """docs without the rows in which a window occurs, or, with spans_only, with every word that a window covers (and
     what stands between two such words) cut out of the text. Rows and columns otherwise come back as they were, also if
-    columns are named like this operator's own. A benchmark beyond block_bytes is scanned in several passes."""
-    spark = docs.sparkSession
-    out = docs
+    columns are named like this operator's own. With a benchmark beyond block_bytes the texts in question are found by hash and joined back."""
     at = docs.columns.index(text_col)
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(items)
-
-        def sift(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, n)
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                met = [windows.scan(words_of(x)) for x in texts]
-                if spans_only:
-                    cut = pa.array([cut_spans(x, m) if m else x for x, m in zip(texts, met, strict=True)], batch.column(at).type)
-                    yield batch.set_column(at, batch.schema.field(at), cut)
-                else:
-                    yield batch.filter(pa.array([not m for m in met], pa.bool_()))
-
-        out = out.mapInArrow(sift, docs.schema)
-    return out
+    small = _small(benchmark, item_col, item_text_col, n, block_bytes)
+    if small is None:
+        keyed = docs.select(F.struct(F.xxhash64(F.col(text_col)).alias("h"), F.xxhash64(F.lit(1), F.col(text_col)).alias("g")).alias("doc_id"), F.col(text_col).alias("text"))
+        rows, hits = _large_hits(keyed, benchmark, n, item_col, item_text_col)
+        met = hits.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("met"))
+        bad = materialise(rows.join(met, "row").groupBy("doc_id").agg(F.first("met").alias("__tl_met")), "contaminated")
+        bad = bad.select(F.col("doc_id.h").alias("__tl_h"), F.col("doc_id.g").alias("__tl_g"), "__tl_met")
+        same = (F.xxhash64(F.col(text_col)) == F.col("__tl_h")) & (F.xxhash64(F.lit(1), F.col(text_col)) == F.col("__tl_g"))
+        if not spans_only:
+            return docs.join(bad, same, "left_anti")
+        cut = F.pandas_udf(lambda texts, met: pd.Series([t if m is None else cut_spans(t, [(x["at"], x["n"], set()) for x in m]) for t, m in zip(texts, met, strict=True)]), "string")
+        return docs.join(bad, same, "left").withColumn(text_col, cut(F.col(text_col), F.col("__tl_met"))).drop("__tl_h", "__tl_g", "__tl_met")
+    shared = docs.sparkSession.sparkContext.broadcast(small)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = shared.value.windows()
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            met = [windows.scan(words_of(x)) for x in texts]
+            if spans_only:
+                cut = pa.array([cut_spans(x, m) if m else x for x, m in zip(texts, met, strict=True)], batch.column(at).type)
+                yield batch.set_column(at, batch.schema.field(at), cut)
+            else:
+                yield batch.filter(pa.array([not m for m in met], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)
 
 
 def cut_spans(text: str, met: list[tuple[int, int, set[str]]]) -> str:
