@@ -17,7 +17,7 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -88,13 +88,13 @@ def base_spans(text: str) -> list[Span]:
 
 #: Generators: kind, what a text must contain for it (one of these), pattern, group that is the span.
 _GENERATORS = (
-    ("email", ("dot", "DOT", "Dot"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,5}", re.I), 0),
+    ("email", ("at)", "at]", "at}", "AT)", "AT]", "AT}", "At)", "At]", "At}", " at ", " AT ", " At "), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,5}", re.I), 0),
     ("card", None, re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"), 0),
     ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"), 0),
     ("ssn", None, re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), 0),
     ("account", None, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), 0),
     ("ipv6", (":",), re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])"), 0),
-    ("secret", ("=", ":"), re.compile(r"(?<![A-Za-z])([A-Za-z_]{2,24})[\"']? ?[=:] ?[\"']?([A-Za-z0-9+/_-]{16,128})(?![A-Za-z0-9+/_-])"), 2),
+    ("secret", ("=", ":"), re.compile(r"(?<![A-Za-z])([A-Za-z_]{2,24})[\"']? ?[=:] ?[\"']?([A-Za-z0-9+/_-]{16,})(?![A-Za-z0-9+/_-])"), 2),
 )
 
 #: Words that announce a kind.
@@ -154,8 +154,11 @@ def example(rnd: random.Random) -> tuple[str, Candidate, int] | None:
     cue = rnd.choice(_CUES[kind])
     if kind == "email":
         at, dot = rnd.choice(["(at)", "[at]", "{at}"]), rnd.choice(["(dot)", "[dot]", "{dot}"])
-        span = f"{word()}{rnd.choice(['', '.' + word()])} {at} {word()} {dot} {rnd.choice(['com', 'org', 'net', 'de'])}" if good else f"{word()} at {word()} dot {word()}"
-        cue = cue if good else ""
+        local = f"{word()}{rnd.choice(['', '.' + word(), '_' + word(), '-' + word(), digits(2)])}"
+        host, end = f"{word()}{rnd.choice(['', '-' + word(), digits(1)])}", rnd.choice(["com", "org", "net", "de", "fr", "edu", "info"])
+        gap = rnd.choice(["", " "])
+        span = (f"{local}{gap}{at}{gap}{host}{gap}{dot}{gap}{end}" if rnd.random() < 0.6 else f"{local}{gap}{at}{gap}{host}.{end}") if good else f"{word()} at {word()} dot {word()}"
+        cue = cue if good and rnd.random() < 0.5 else ""
     elif kind == "card":
         body = rnd.choice("3456" if good else "0123456789") + digits(rnd.choice([12, 13, 14]) if good else rnd.randint(11, 17))
         check = [c for c in "0123456789" if luhn(body + c) == (good or rnd.random() < 0.1)]
@@ -172,12 +175,16 @@ def example(rnd: random.Random) -> tuple[str, Candidate, int] | None:
         cue = cue if good or not area else ""
         good = good and area
     elif kind == "account":
-        body = rnd.choice(["DE", "FR", "ES", "GB"]) + "00" + digits(rnd.choice([16, 18, 20]))
+        body = rnd.choice(["DE", "FR", "ES", "GB", "NL"]) + "00" + digits(rnd.choice([14, 16, 18, 20, 21]))
         check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
         span = body[:2] + f"{check if good else (check + rnd.randint(1, 90)) % 97:02d}" + body[4:]
+        span = rnd.choice(["", " "]).join(span[k : k + 4] for k in range(0, len(span), 4))
+        cue = cue if rnd.random() < 0.5 else ""
     elif kind == "ipv6":
         group = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(1, 4)))
-        span = ":".join(group() for _ in range(8)) if good else f"{rnd.randint(0, 23):02d}:{digits(2)}:{digits(2)}"
+        short = ":".join(group() for _ in range(rnd.randint(2, 4))) + "::" + ":".join(group() for _ in range(rnd.randint(1, 3)))
+        other = [f"{rnd.randint(0, 23):02d}:{digits(2)}:{digits(2)}", ":".join(str(rnd.randint(1, 99)) for _ in range(rnd.randint(3, 5))), ":".join("".join(rnd.choice("0123456789abcdef") for _ in range(2)) for _ in range(6))]
+        span = (":".join(group() for _ in range(8)) if rnd.random() < 0.5 else short) if good else rnd.choice(other)
         cue = cue if good and rnd.random() < 0.5 else ""
     else:
         alphabet = rnd.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
@@ -234,11 +241,13 @@ def spans_of(texts: list[str], trees: BoostedTrees, threshold: dict[str, float])
                 rows.append(features(t, c))
                 where.append(k)
     p = trees.probability(np.array(rows)) if rows else []
-    added: dict[int, list[Candidate]] = {}
+    added: dict[int, list[Candidate]] = {}  # of each text in order, without overlaps
     for i in sorted(range(len(rows)), key=lambda i: (where[i], -p[i], proposed[i].start)):
         c, own = proposed[i], added.setdefault(where[i], [])
-        if p[i] >= threshold[c.kind] and not any(c.start < o.end and o.start < c.end for o in own):
-            own.append(c)
+        if p[i] >= threshold[c.kind]:
+            j = bisect_left(own, c.end, key=lambda o: o.start)
+            if not j or own[j - 1].end <= c.start:
+                own.insert(j, c)
     out = []
     for k, found in enumerate(base):
         more = [(c.kind, c.start, c.end) for c in added.get(k, [])]
