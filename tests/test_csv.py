@@ -67,12 +67,38 @@ def test_empty(spark, write):
 
 
 def test_without_headers(spark, write):
-    text = "21.01,21.45,20.40,17,21.45,2020-07-08 04:00:00,6294,21.0\n21.69,21.92,20.77,5,20.88,2020-07-09 04:00:00,10046,21.5\n21.60,21.99,21.38,9,21.73,2020-07-10 04:00:00,12947,21.7\n"
+    text = "5.5,6.25,5.0,17,6.0,2019-03-01 10:30:00,1200,5.8\n6.0,6.5,5.75,5,5.9,2019-03-02 10:30:00,340,6.1\n"
     rows = BarLoader.without_headers(write(text)).load(spark).orderBy("row_idx").collect()
-    assert [(r.open, r.high, r.low, r.close, r.volume) for r in rows] == [(21.01, 21.45, 20.40, 21.45, 6294), (21.69, 21.92, 20.77, 20.88, 10046), (21.60, 21.99, 21.38, 21.73, 12947)]
+    assert [(r.open, r.high, r.low, r.close, r.volume) for r in rows] == [(5.5, 6.25, 5.0, 6.0, 1200), (6.0, 6.5, 5.75, 5.9, 340)]
     assert HEADERLESS.timestamp == 5
 
 
+def test_rows_are_numbered_over_splits_and_files(spark, tmp_path):
+    """A folder of files that are read in many splits: consecutive numbers in order, the right row in the error, and rolling windows that are full."""
+    from tickloom.operators import vwap
+
+    (tmp_path / "in").mkdir()
+    for f in range(3):
+        lines = "".join(f"{1600000000 + 60 * (200 * f + k)},{10 + k % 7}.5,20,1,{10 + k % 5},{200 * f + k}\n" for k in range(200))
+        (tmp_path / f"in/part{f}.csv").write_text(HEAD + lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        bars = BarLoader(str(tmp_path / "in"), symbol="x").load(spark)
+        assert bars.rdd.getNumPartitions() > 5
+        assert [(r.row_idx, r.volume) for r in bars.orderBy("row_idx").collect()] == [(k, k) for k in range(600)]
+        got = vwap.rolling_at_every_bar(bars, 20).where("data_points < 20").count()
+        assert got == 19 and vwap.rolling(bars, 20).collect()[0].data_points == 20
+        text = (tmp_path / "in/part2.csv").read_text().splitlines()
+        text[100] = ",".join([text[100].split(",")[0], "bad", *text[100].split(",")[2:]])
+        (tmp_path / "in/part2.csv").write_text("\n".join(text) + "\n")
+        with pytest.raises(errors.InvalidDataType):
+            BarLoader(str(tmp_path / "in")).load(spark).count()
+        assert [r.row_idx for r in BarLoader(str(tmp_path / "in")).records(spark).where("error IS NOT NULL").collect()] == [499]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 TIMES = [
     ("2023-01-01T12:00:00Z", datetime(2023, 1, 1, 12), True),
     ("2023-01-01T12:00:00+02:00", datetime(2023, 1, 1, 10), True),

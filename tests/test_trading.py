@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tests.helpers import T3, bars
 from tickloom import errors
-from tickloom.operators import analytics, monitor, strategy
+from tickloom.operators import analytics, monitor, strategy, validation
 from tickloom.operators import signals as sig
 from tickloom.operators import vwap as vwaps
+from tickloom.plans.chunks import number_rows
 from tickloom.streaming import bars as streams
 
 BUY, SELL = [*T3, (110, 115, 108, 112, 1500)], [*T3, (90, 95, 88, 92, 1500)]
@@ -179,3 +181,48 @@ def test_bars_from_a_stream_of_ticks(spark, tmp_path):
     ours = {(r.symbol, str(r.timestamp)): (r.open, r.high, r.low, r.close, r.volume) for r in got.collect()}
     theirs = {(r.symbol, str(r.timestamp)): (r.open, r.high, r.low, r.close, r.volume) for r in want.collect()}
     assert ours and all(theirs[k] == v for k, v in ours.items()) and len(ours) >= len(theirs) - 5
+
+
+def test_rows_without_symbol_or_time_stay(spark):
+    """Null symbols are a symbol, null times come first, and no join loses them."""
+    rows = bars(spark, T3).withColumn("symbol", F.lit(None).cast("string")).unionByName(bars(spark, T3)).withColumn("timestamp", F.when(F.col("row_idx") != 1, F.col("timestamp")))
+    numbered = number_rows(rows.drop("row_idx"))
+    assert sorted((r.symbol or "", r.row_idx) for r in numbered.collect()) == [("", 0), ("", 1), ("", 2), ("x", 0), ("x", 1), ("x", 2)]
+    assert [r.open for r in numbered.where("row_idx = 0").collect()] == [102.0, 102.0]
+    count = lambda df: df.where("symbol IS NULL").count()
+    assert count(vwaps.running(numbered)) == count(vwaps.rolling_at_every_bar(numbered, 2)) == 3
+    assert count(vwaps.rolling(numbered, 2)) == count(sig.batch_signal(numbered)) == count(validation.price_statistics(numbered)) == 1
+    assert count(validation.outliers_zscore(numbered, 1.0)) == validation.outliers_zscore(numbered, 1.0).where("symbol = 'x'").count() > 0
+    assert count(analytics.technical_features(numbered)) == count(analytics.market_quotes(numbered)) == 3
+
+
+def test_retained_alerts(spark):
+    """As a list that loses its oldest 50 whenever an event takes it beyond 100."""
+    rnd = random.Random(2)
+    for events in (5, 60, 200):
+        held, rows = [], []
+        for k in range(events):
+            for place in range(rnd.randint(0, 3)):
+                rows.append(("x", k, place, f"a{place}", 1.0, 0.0))
+                held.append((k, place))
+            held = held[50:] if len(held) > 100 else held
+        got = monitor.retained(spark.createDataFrame(rows, "symbol string, row_idx int, place int, alert_type string, current double, threshold double")).orderBy("seq").collect()
+        assert [(r.row_idx, int(r.alert_type[1:])) for r in got] == held and [r.seq for r in got] == list(range(1, len(held) + 1))
+
+
+def test_latency_and_failures_alert(spark):
+    rows = spark.createDataFrame([("x", 0, "Buy", None, 0.0001, None), ("x", 1, "Buy", None, 0.01, None), ("x", 2, "Hold", None, None, "no data")], "symbol string, row_idx long, signal string, pnl double, latency double, error string")
+    assert sorted((r.row_idx, r.alert_type) for r in monitor.alerts(rows).collect()) == [(1, "LatencyHigh"), (2, "LatencyHigh"), (2, "SignalGenerationFailed")]
+    assert monitor.latency_statistics(rows).collect()[0].calls == 2
+
+
+def test_strategy_surface(spark):
+    one = strategy.VWAPStrategy().with_name("n").with_vwap_type("rolling", 2).with_config(strategy.StrategyConfig(name="m"))
+    assert one.config.name == "m" and one.vwap_type == ("rolling", 2) and one.real_time
+    one.validate_config()
+    rows = bars(spark, [*T3, (110, 115, 108, 112, 1500)])
+    same = strategy.VWAPStrategy(mode="standard").with_vwap_type("rolling", 1).execute(rows).collect()[0]
+    assert same.vwap == (115 + 108 + 112) / 3 and one.execute(rows).collect()[0].vwap != same.vwap
+    emitted = one.execute_incremental(rows).collect()
+    assert all(r.reason == strategy.EXIT_REASON and r.vwap is None for r in emitted if r.signal == "Exit") and all(r.vwap for r in emitted if r.signal != "Exit")
+    assert one.get_position(rows).count() <= 1 and one.get_performance(rows).count() <= 1

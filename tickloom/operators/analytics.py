@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.bars import typical_price
 from tickloom.functions.numeric import ieee_div
 from tickloom.operators import vwap as vwaps
-from tickloom.plans.chunks import CHUNK_ROWS, chunk_order, looking_back
+from tickloom.operators.strategy import StrategyConfig, run_incremental
+from tickloom.plans.chunks import CHUNK_ROWS, chunk_order, looking_back, on_keys, running_sums
 
 
 def technical_features(bars: DataFrame, window: int = 20, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -39,12 +40,11 @@ def swing_points(bars: DataFrame, reach: int = 2) -> DataFrame:
 
 def swing_vwap(bars: DataFrame, reach: int = 2) -> DataFrame:
     """symbol, row_idx, kind, vwap from each swing point to the end: total minus what lies before, from running sums."""
-    from tickloom.plans.chunks import running_sums
-
     sums = running_sums(bars.select("symbol", "row_idx", "high", "low", "close", "volume"), {"v": vwaps.weighted(), "q": F.col("volume").cast("double")})
     total = sums.groupBy("symbol").agg(F.max_by("v", "row_idx").alias("tv"), F.max_by("q", "row_idx").alias("tq"))
     own = sums.select("symbol", "row_idx", (F.col("v") - vwaps.weighted()).alias("bv"), (F.col("q") - F.col("volume")).alias("bq"))
-    points = swing_points(bars, reach).select("symbol", "row_idx", "kind").join(own, ["symbol", "row_idx"]).join(total, "symbol")
+    points = swing_points(bars, reach).select("symbol", "row_idx", "kind")
+    points = on_keys(on_keys(points, own, ["symbol", "row_idx"]), total, "symbol")
     return points.select("symbol", "row_idx", "kind", vwaps.ratio(F.col("tv") - F.col("bv"), F.col("tq") - F.col("bq")).alias("vwap"))
 
 
@@ -54,7 +54,7 @@ def volume_profile(bars: DataFrame, bins: int = 10) -> DataFrame:
     price = bars.select("symbol", typical_price().alias("p"), "volume")
     ends = price.groupBy("symbol").agg(F.min("p").alias("low"), F.max("p").alias("high"))
     at = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins), F.floor((F.col("p") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * bins) + 1)).otherwise(1)
-    out = price.join(ends, "symbol").groupBy("symbol", at.cast("int").alias("bin")).agg(F.sum("volume").alias("volume"))
+    out = on_keys(price, ends, "symbol").groupBy("symbol", at.cast("int").alias("bin")).agg(F.sum("volume").alias("volume"))
     w = Window.partitionBy("symbol")
     out = out.withColumn("share", F.col("volume") / F.sum("volume").over(w))
     before = F.coalesce(F.sum("volume").over(w.orderBy(F.col("volume").desc(), "bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -64,7 +64,8 @@ def volume_profile(bars: DataFrame, bins: int = 10) -> DataFrame:
 def market_alerts(bars: DataFrame, deviation: float = 0.02, spike: float = 2.0, move: float = 0.03, window: int = 20) -> DataFrame:
     """symbol, row_idx, alert, value: bars far from their rolling VWAP, with volume far above its rolling mean, or with a large move."""
     vw = vwaps.rolling_at_every_bar(bars, window).select("symbol", "row_idx", "vwap")
-    rows = technical_features(bars, window).join(vw, ["symbol", "row_idx"]).join(bars.select("symbol", "row_idx", "close"), ["symbol", "row_idx"])
+    row = ["symbol", "row_idx"]
+    rows = on_keys(on_keys(technical_features(bars, window), vw, row), bars.select(*row, "close"), row)
     dev = ieee_div(F.col("close") - F.col("vwap"), F.col("vwap"))
     one = lambda name, value, limit: F.when(F.abs(value) > limit, F.struct(F.lit(name).alias("alert"), value.alias("value")))
     found = F.array_compact(F.array(one("vwap_deviation", dev, deviation), one("volume_spike", F.col("volume_ratio"), spike), one("price_move", F.col("returns"), move)))
@@ -90,23 +91,73 @@ def spreads(bars: DataFrame, least: float = 0.0) -> DataFrame:
 def key_figures(bars: DataFrame, within: float = 0.01) -> DataFrame:
     """Per symbol: vwap_hit_rate (closes within `within` of the running VWAP), volume_weighted_return, mean_deviation."""
     vw = vwaps.running(bars).select("symbol", "row_idx", "vwap")
-    rows = technical_features(bars).select("symbol", "row_idx", "returns").join(vw, ["symbol", "row_idx"]).join(bars.select("symbol", "row_idx", "close", "volume"), ["symbol", "row_idx"])
+    row = ["symbol", "row_idx"]
+    rows = on_keys(on_keys(technical_features(bars).select(*row, "returns"), vw, row), bars.select(*row, "close", "volume"), row)
     dev = F.abs(ieee_div(F.col("close") - F.col("vwap"), F.col("vwap")))
     has = F.col("returns").isNotNull()
     return rows.groupBy("symbol").agg((F.count_if(dev <= within) / F.count("*")).alias("vwap_hit_rate"), (F.sum(F.col("returns") * F.col("volume")) / F.sum(F.when(has, F.col("volume")))).alias("volume_weighted_return"), F.avg(dev).alias("mean_deviation"))
 
 
-def backtest(emitted: DataFrame, capital: float = 10_000.0, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
-    """Per symbol: trades, total_return, profit_factor, calmar (return over the largest drawdown of the capital), longest winning and losing
-    streaks; of a strategy's closed trades, each for its size, less commission and slippage (shares of the traded value)."""
+def market_quotes(bars: DataFrame, multiplier: float = 1.5, window: int = 20) -> DataFrame:
+    """symbol, row_idx, vwap (of all bars so far), bid and ask: the VWAP less and plus multiplier times the population deviation of the closes
+    of the last `window` bars."""
+    row = ["symbol", "row_idx"]
+    wide = looking_back(bars.select(*row, "close"), window - 1, {"deviation": F.stddev_pop("close").over(chunk_order().rowsBetween(1 - window, Window.currentRow))})
+    out = on_keys(vwaps.running(bars).select(*row, "vwap"), wide, row)
+    return out.select(*row, "vwap", (F.col("vwap") - multiplier * F.col("deviation")).alias("bid"), (F.col("vwap") + multiplier * F.col("deviation")).alias("ask"))
+
+
+def gains(emitted: DataFrame, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
+    """symbol, row_idx, timestamp (if there is one), gain of a strategy's closed trades, each for its size, less commission and slippage (shares of the traded value)."""
     cost = F.col("size") * (commission + slippage) * 2
-    gain = F.col("size") * ieee_div(F.col("standard_pnl"), F.col("price")) - cost
-    rows = emitted.where(F.col("signal") == "Exit").select("symbol", "row_idx", gain.alias("g"))
+    return emitted.where(F.col("signal") == "Exit").select("symbol", "row_idx", *[c for c in ("timestamp",) if c in emitted.columns], (F.col("size") * ieee_div(F.col("standard_pnl"), F.col("price")) - cost).alias("gain"))
+
+
+def equity_curve(closed: DataFrame, capital: float) -> DataFrame:
+    """gains() plus equity, peak (from the capital) and below (share of the peak that is lost). Trades are few beside bars: a symbol's are one task."""
+    upto = Window.partitionBy("symbol").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = closed.withColumn("equity", capital + F.sum("gain").over(upto))
+    out = out.withColumn("peak", F.greatest(F.lit(capital), F.max("equity").over(upto)))
+    return out.withColumn("below", (F.col("peak") - F.col("equity")) / F.col("peak"))
+
+
+def backtest(emitted: DataFrame, capital: float = 10_000.0, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
+    """Per symbol: trades, final_capital, total_return, win_rate, avg_trade, best_trade, worst_trade, avg_win, avg_loss, sharpe and sortino of the gains,
+    profit_factor, max_drawdown, calmar (return over the largest drawdown of the capital), longest winning and losing streaks."""
+    rows = equity_curve(gains(emitted, commission, slippage), capital)
+    g, w = F.col("gain"), Window.partitionBy("symbol").orderBy("row_idx")
+    islands = rows.withColumn("won", g > 0).withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy("symbol", "won").orderBy("row_idx")))
+    streak = islands.groupBy("symbol", "won", "island").agg(F.count("*").alias("n")).groupBy("symbol").agg(F.coalesce(F.max(F.when(F.col("won"), F.col("n"))), F.lit(0)).alias("longest_wins"), F.coalesce(F.max(F.when(~F.col("won"), F.col("n"))), F.lit(0)).alias("longest_losses"))
+    out = rows.groupBy("symbol").agg(
+        F.count("*").alias("trades"), (F.lit(capital) + F.sum(g)).alias("final_capital"), (F.sum(g) / capital).alias("total_return"), (F.count_if(g > 0) / F.count("*")).alias("win_rate"), F.avg(g).alias("avg_trade"), F.max(g).alias("best_trade"), F.min(g).alias("worst_trade"),
+        F.avg(F.when(g > 0, g)).alias("avg_win"), F.avg(F.when(g < 0, g)).alias("avg_loss"), F.stddev_pop(g).alias("s"), F.sqrt(F.avg(F.when(g < 0, g * g))).alias("d"), F.sum(F.when(g > 0, g)).alias("up"), F.sum(F.when(g < 0, -g)).alias("down"), F.max("below").alias("max_drawdown"),
+    )
+    over = lambda a, b: F.when(F.col(b) > 0, a / F.nullif(b, F.lit(0.0)))
+    out = out.withColumns({"sharpe": over(F.col("avg_trade"), "s"), "sortino": over(F.col("avg_trade"), "d"), "profit_factor": over(F.coalesce("up", F.lit(0.0)), "down"), "calmar": over(F.col("total_return"), "max_drawdown")})
+    return on_keys(out.drop("up", "down", "s", "d"), streak, "symbol")
+
+
+def monthly_returns(emitted: DataFrame, capital: float = 10_000.0, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
+    """symbol, month, trades, return: the month's gains over the capital at its beginning."""
+    by_month = gains(emitted, commission, slippage).groupBy("symbol", F.date_trunc("month", "timestamp").cast("date").alias("month")).agg(F.count("*").alias("trades"), F.sum("gain").alias("gain"))
+    before = F.coalesce(F.sum("gain").over(Window.partitionBy("symbol").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row a month
+    return by_month.select("symbol", "month", "trades", (F.col("gain") / (capital + before)).alias("return"))
+
+
+def drawdown_periods(emitted: DataFrame, capital: float = 10_000.0, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
+    """symbol, first and last (times of the first and last trade below a peak), trades, drawdown (the largest), seconds."""
+    rows = equity_curve(gains(emitted, commission, slippage), capital)
     w = Window.partitionBy("symbol").orderBy("row_idx")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("equity", capital + F.sum("g").over(upto)).withColumn("peak", F.greatest(F.lit(capital), F.max("equity").over(upto)))
-    rows = rows.withColumn("won", F.col("g") > 0).withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy("symbol", "won").orderBy("row_idx")))
-    streak = rows.groupBy("symbol", "won", "island").agg(F.count("*").alias("n")).groupBy("symbol").agg(F.coalesce(F.max(F.when(F.col("won"), F.col("n"))), F.lit(0)).alias("longest_wins"), F.coalesce(F.max(F.when(~F.col("won"), F.col("n"))), F.lit(0)).alias("longest_losses"))
-    out = rows.groupBy("symbol").agg(F.count("*").alias("trades"), (F.sum("g") / capital).alias("total_return"), F.sum(F.when(F.col("g") > 0, F.col("g"))).alias("up"), F.sum(F.when(F.col("g") < 0, -F.col("g"))).alias("down"), F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("max_drawdown"))
-    out = out.withColumn("profit_factor", F.when(F.col("down") > 0, F.coalesce("up", F.lit(0.0)) / F.nullif("down", F.lit(0.0)))).withColumn("calmar", F.when(F.col("max_drawdown") > 0, F.col("total_return") / F.nullif("max_drawdown", F.lit(0.0))))
-    return out.drop("up", "down").join(streak, "symbol")
+    rows = rows.withColumn("period", F.sum(F.when(F.col("below") > 0, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("below > 0")
+    out = rows.groupBy("symbol", "period").agg(F.min_by("timestamp", "row_idx").alias("first"), F.max_by("timestamp", "row_idx").alias("last"), F.count("*").alias("trades"), F.max("below").alias("drawdown"))
+    seconds = F.unix_seconds(F.col("last").cast("timestamp")) - F.unix_seconds(F.col("first").cast("timestamp"))
+    return out.withColumn("seconds", seconds).drop("period")
+
+
+def grid_search(bars: DataFrame, grid: list[StrategyConfig], capital: float = 10_000.0, commission: float = 0.0) -> DataFrame:
+    """The back-test of each configuration (column config: its place in the grid), with its rank by return among those of the symbol, best first."""
+    runs = [backtest(run_incremental(bars, c), capital, commission).withColumn("config", F.lit(k)) for k, c in enumerate(grid)]
+    out = runs[0]
+    for more in runs[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("total_return").desc(), "config")).cast("long"))

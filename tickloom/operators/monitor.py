@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.plans.chunks import on_keys
+
 
 @dataclass(frozen=True)
 class MonitorConfig:
@@ -60,36 +62,56 @@ def risk(closed: DataFrame) -> DataFrame:
 
 
 def metrics(closed: DataFrame) -> DataFrame:
-    return trade_metrics(closed).join(drawdown(closed), "symbol").join(risk(closed), "symbol")
+    """trade_metrics, drawdown and risk in one row a symbol."""
+    return on_keys(on_keys(trade_metrics(closed), drawdown(closed), "symbol"), risk(closed), "symbol")
 
 
-def history(emitted: DataFrame, n: int) -> DataFrame:
-    """The latest n recorded signals (exits are no records of their own) of each symbol, newest first (seq 1)."""
+def history(emitted: DataFrame, n: int, config: MonitorConfig | None = None) -> DataFrame:
+    """The latest n recorded signals (exits are no records of their own) of each symbol, newest first (seq 1), of the max_history_size that are kept."""
     records = emitted.where(F.col("signal") != "Exit")
     seq = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("row_idx").desc()))
-    return records.withColumn("seq", seq.cast("long")).where(F.col("seq") <= n)
+    return records.withColumn("seq", seq.cast("long")).where(F.col("seq") <= min(n, (config or MonitorConfig()).max_history_size))
+
+
+def latency_statistics(timed: DataFrame) -> DataFrame:
+    """Per symbol of rows with a latency in seconds: calls, total, average, smallest and largest."""
+    x = F.col("latency")
+    return timed.groupBy("symbol").agg(F.count(x).alias("calls"), F.sum(x).alias("total"), F.avg(x).alias("average"), F.min(x).alias("smallest"), F.max(x).alias("largest"))
 
 
 def alerts(emitted: DataFrame, config: MonitorConfig | None = None, pnl: str = "pnl") -> DataFrame:
     """symbol, row_idx, alert_type, current, threshold: every check that fails at every event, recorded signal or exit, with
-    the metrics up to that event. Repeated alerts are kept; recent() is the bounded list. Latencies are Spark's own metrics, not data."""
+    the metrics up to that event. If the rows have a latency (seconds), the average so far is checked too; if they have an `error`, it is
+    reported as SignalGenerationFailed. Repeated alerts are kept; retained() and recent() are the bounded lists."""
     config = config or MonitorConfig()
     w = Window.partitionBy("symbol").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     p = F.when(F.col("signal") == "Exit", F.col(pnl))
-    rows = emitted.select("symbol", "row_idx", p.alias("p")).withColumns({"pnl": F.coalesce(F.sum("p").over(w), F.lit(0.0)), "won": F.count_if(F.col("p") > 0).over(w), "lost": F.count_if(F.col("p") < 0).over(w)})
+    optional = [F.col(c) if c in emitted.columns else F.lit(None).cast(t).alias(c) for c, t in (("latency", "double"), ("error", "string"))]
+    rows = emitted.select("symbol", "row_idx", p.alias("p"), *optional).withColumns({"pnl": F.coalesce(F.sum("p").over(w), F.lit(0.0)), "won": F.count_if(F.col("p") > 0).over(w), "lost": F.count_if(F.col("p") < 0).over(w), "waited": F.avg("latency").over(w)})
     rows = rows.withColumn("peak", F.greatest(F.lit(0.0), F.max("pnl").over(w)))
     total = F.col("won") + F.col("lost")
     now, rate = _current(F.col("peak"), F.col("pnl")), F.when(total > 0, F.col("won") / F.nullif(total, F.lit(0))).otherwise(0.0)
-    one = lambda name, bad, value, limit: F.when(bad, F.struct(F.lit(name).alias("alert_type"), value.alias("current"), F.lit(limit).alias("threshold")))
+    one = lambda name, bad, value, limit: F.when(bad, F.struct(F.lit(name).alias("alert_type"), value.alias("current"), F.lit(limit).cast("double").alias("threshold")))
     found = F.array(
         one("DrawdownExceeded", now > config.drawdown_threshold, now, config.drawdown_threshold),
         one("WinRateLow", (rate < config.win_rate_threshold) & (total > 10), rate, config.win_rate_threshold),
         one("PnLLow", F.col("pnl") < config.pnl_threshold, F.col("pnl"), config.pnl_threshold),
+        one("LatencyHigh", F.col("waited") > config.latency_threshold, F.col("waited"), config.latency_threshold),
+        one("SignalGenerationFailed", F.col("error").isNotNull(), F.lit(None).cast("double"), None),
     )
-    return rows.select("symbol", "row_idx", F.explode(F.array_compact(found)).alias("a")).select("symbol", "row_idx", "a.*")
+    return rows.select("symbol", "row_idx", F.posexplode(F.array_compact(found)).alias("place", "a")).select("symbol", "row_idx", "place", "a.*")
+
+
+def retained(alerted: DataFrame) -> DataFrame:
+    """The alerts of each symbol that are still held, oldest first (seq 1): whenever an event takes the list beyond 100, its oldest 50 go. So a list
+    that ever passed 100 holds 51 to 100 alerts, and their number is that of all modulo 50."""
+    n = F.count("*").over(Window.partitionBy("symbol"))
+    held = F.when(n <= 100, n).otherwise(51 + (n - 51) % 50)
+    at = F.row_number().over(Window.partitionBy("symbol").orderBy("row_idx", "place")) - (n - held)
+    return alerted.withColumn("seq", at.cast("long")).where("seq > 0").drop("place")
 
 
 def recent(alerted: DataFrame, n: int) -> DataFrame:
     """The latest n alerts of each symbol, newest first (seq 1)."""
     seq = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("row_idx").desc(), F.col("alert_type").desc()))
-    return alerted.withColumn("seq", seq.cast("long")).where(F.col("seq") <= n)
+    return alerted.drop("place").withColumn("seq", seq.cast("long")).where(F.col("seq") <= n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import ieee_div, smaller
 from tickloom.operators import vwap as vwaps
+from tickloom.plans.chunks import on_keys
 
 
 @dataclass(frozen=True)
@@ -68,8 +69,8 @@ def confidence_single(dev: Column) -> Column:
 def batch_signal(bars: DataFrame, thresholds: SignalThresholds = DEFAULT, scope=vwaps.vwap) -> DataFrame:
     """One signal per symbol, for its last bar. scope: bars to (symbol, vwap). Aggregations only, no window."""
     ends = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.max("row_idx").alias("end"), F.avg("volume").alias("mean_volume"), F.max_by(F.struct("timestamp", "close", "volume"), "row_idx").alias("last"))
-    before = bars.join(ends.select("symbol", "end"), "symbol").where(F.col("row_idx") < F.col("end")).groupBy("symbol").agg(F.max_by("close", "row_idx").alias("previous"))
-    rows = ends.join(before, "symbol", "left").join(scope(bars).select("symbol", "vwap"), "symbol")
+    before = on_keys(bars, ends.select("symbol", "end"), "symbol").where(F.col("row_idx") < F.col("end")).groupBy("symbol").agg(F.max_by("close", "row_idx").alias("previous"))
+    rows = on_keys(on_keys(ends, before, "symbol", "left"), scope(bars).select("symbol", "vwap"), "symbol")
     close, volume = F.col("last.close"), F.col("last.volume")
     rows = rows.withColumn("deviation", deviation(close, F.col("vwap")))
     dev = F.col("deviation")

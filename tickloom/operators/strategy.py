@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import errors
+from tickloom.operators import monitor
 from tickloom.operators import signals as sig
 from tickloom.operators import vwap as vwaps
 
 COOLDOWN_SECONDS = 60.0
+EXIT_REASON = "Stop loss or take profit hit"  # fixed value
 
 
 @dataclass(frozen=True)
@@ -61,7 +64,7 @@ class Machine:
         standard_pnl is that of the position itself."""
         if self.side and self.must_close(price):
             sign = 1.0 if self.side == "Long" else -1.0
-            out = {"signal": "Exit", "closed": self.side, "opened": None, "size": self.size, "pnl": price - self.record_price, "duration": max(0.0, time - self.record_time), "standard_pnl": sign * (price - self.entry_price), "confidence": 1.0}
+            out = {"signal": "Exit", "reason": EXIT_REASON, "closed": self.side, "opened": None, "size": self.size, "pnl": price - self.record_price, "duration": max(0.0, time - self.record_time), "standard_pnl": sign * (price - self.entry_price), "confidence": 1.0}
             self.side = None
             return out
         if self.last_signal is not None and max(0.0, time - self.last_signal) < self.config.cooldown_seconds:
@@ -75,11 +78,12 @@ class Machine:
             low, high = price * (1.0 - down), price * (1.0 + up)
             self.stop, self.target = (low, high) if opened == "Long" else (high, low)
             self.entry_price, self.entry_time, self.size = price, time, self.config.max_position_size * min(strength or 0.0, 1.0)
-        return {"signal": signal, "closed": None, "opened": opened, "size": self.size if opened else None, "pnl": None, "duration": None, "standard_pnl": None, "confidence": confidence}
+        return {"signal": signal, "reason": None, "closed": None, "opened": opened, "size": self.size if opened else None, "pnl": None, "duration": None, "standard_pnl": None, "confidence": confidence}
 
 
-EMITTED = "symbol string, row_idx long, timestamp timestamp, signal string, price double, confidence double, opened string, closed string, size double, pnl double, duration double, standard_pnl double"
+EMITTED = "symbol string, row_idx long, timestamp timestamp, signal string, price double, confidence double, opened string, closed string, size double, pnl double, duration double, standard_pnl double, reason string, vwap double, strength double"
 _OUT = [x.split()[0] for x in EMITTED.split(", ")]
+NUMBERS = [x.split()[0] for x in EMITTED.split(", ") if x.endswith(" double")]
 
 
 def run_incremental(bars: DataFrame, config: StrategyConfig | None = None) -> DataFrame:
@@ -90,24 +94,24 @@ def run_incremental(bars: DataFrame, config: StrategyConfig | None = None) -> Da
     """
     config = config or StrategyConfig()
     rows = sig.incremental_signals(bars, config.signal_thresholds)
-    rows = rows.select("symbol", "row_idx", F.col("timestamp").cast("timestamp").alias("timestamp"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6).alias("t"), "price", "signal", "strength", "confidence")
+    rows = rows.select("symbol", "row_idx", F.col("timestamp").cast("timestamp").alias("timestamp"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6).alias("t"), "price", "signal", "strength", "confidence", "reason", "vwap")
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine, symbol, begun = Machine(config), None, False
         for part in parts:
             out = []
-            for s, i, at, t, price, kind, power, sure in part.itertuples(index=False, name=None):
+            for s, i, at, t, price, kind, power, sure, why, vwap in part.itertuples(index=False, name=None):
                 if not begun or s != symbol:
                     machine, symbol, begun = Machine(config), s, True
                 got = machine.step(t, price, kind, None if power is None or math.isnan(power) else power, sure)
                 if got:
-                    out.append({"symbol": s, "row_idx": i, "timestamp": at, "price": price} | got)
-            yield pd.DataFrame(out, columns=_OUT).astype({c: "float64" for c in ("price", "confidence", "size", "pnl", "duration", "standard_pnl")})
+                    held = got["signal"] != "Exit"
+                    out.append({"symbol": s, "row_idx": i, "timestamp": at, "price": price, "vwap": vwap if held else None, "strength": power if held else None} | got | ({"reason": why} if held else {}))
+            yield pd.DataFrame(out, columns=_OUT).astype({c: "float64" for c in NUMBERS})
 
     dealt = rows.repartition("symbol").sortWithinPartitions("symbol", "row_idx")
     out = dealt.mapInPandas(fold, EMITTED)
-    numbers = ("size", "pnl", "duration", "standard_pnl")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers}).withColumn("timestamp", F.col("timestamp").cast(bars.schema["timestamp"].dataType))
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in NUMBERS if c not in ("price", "confidence")}).withColumn("timestamp", F.col("timestamp").cast(bars.schema["timestamp"].dataType))
 
 
 def execute(bars: DataFrame, config: StrategyConfig | None = None, scope=vwaps.vwap) -> DataFrame:
@@ -124,3 +128,66 @@ def with_position(rows: DataFrame, config: StrategyConfig) -> DataFrame:
     size = F.when(F.col("position").isNotNull(), F.lit(config.max_position_size) * F.least(F.col("strength"), F.lit(1.0)))
     move = lambda long, short: F.when(F.col("position") == "Long", F.col("price") * (1.0 + long)).when(F.col("position") == "Short", F.col("price") * (1.0 + short))
     return out.withColumns({"size": size, "stop_loss": move(-config.stop_loss_pct, config.stop_loss_pct), "take_profit": move(config.take_profit_pct, -config.take_profit_pct)})
+
+
+class TradingStrategy(ABC):
+    """What a strategy offers: signals of whole series, of bars one at a time, figures of its trades, and a check of its options."""
+
+    @abstractmethod
+    def execute(self, bars: DataFrame) -> DataFrame: ...
+
+    @abstractmethod
+    def execute_incremental(self, bars: DataFrame) -> DataFrame: ...
+
+    @abstractmethod
+    def get_performance(self, bars: DataFrame) -> DataFrame: ...
+
+    @abstractmethod
+    def validate_config(self) -> None: ...
+
+
+@dataclass(frozen=True)
+class VWAPStrategy(TradingStrategy):
+    """The strategy with its options; each with_ method returns a changed copy. vwap_type ("session", "rolling", "anchored" or "custom", with its
+    arguments) and real_time are kept; in mode "reference" signals use the session scope whatever vwap_type says, in "standard" the scope it names."""
+
+    config: StrategyConfig = field(default_factory=StrategyConfig)
+    vwap_type: tuple = ("session",)
+    real_time: bool = True
+    mode: str = "reference"
+
+    def with_config(self, config: StrategyConfig) -> VWAPStrategy:
+        return replace(self, config=config)
+
+    def with_name(self, name: str) -> VWAPStrategy:
+        return replace(self, config=replace(self.config, name=name))
+
+    def with_vwap_type(self, kind: str, *arguments) -> VWAPStrategy:
+        return replace(self, vwap_type=(kind, *arguments))
+
+    def with_signal_thresholds(self, thresholds: sig.SignalThresholds) -> VWAPStrategy:
+        return replace(self, config=replace(self.config, signal_thresholds=thresholds))
+
+    def scope(self) -> Callable[[DataFrame], DataFrame]:
+        kind, *arguments = self.vwap_type if self.mode == "standard" else ("session",)
+        found = {"session": vwaps.session, "rolling": vwaps.rolling, "anchored": vwaps.anchored, "custom": vwaps.between}[kind]
+        return lambda bars: found(bars, *arguments)
+
+    def execute(self, bars: DataFrame) -> DataFrame:
+        return execute(bars, self.config, self.scope())
+
+    def execute_incremental(self, bars: DataFrame) -> DataFrame:
+        return run_incremental(bars, self.config)
+
+    def get_position(self, bars: DataFrame) -> DataFrame:
+        """symbol, side, entry_price, size of the positions that are open after the last bar."""
+        last = self.execute_incremental(bars).where("opened IS NOT NULL OR closed IS NOT NULL").groupBy("symbol").agg(F.max_by(F.struct("opened", "price", "size"), "row_idx").alias("x"))
+        return last.where("x.opened IS NOT NULL").select("symbol", F.col("x.opened").alias("side"), F.col("x.price").alias("entry_price"), "x.size")
+
+    def get_performance(self, bars: DataFrame) -> DataFrame:
+        return monitor.metrics(monitor.trades(self.execute_incremental(bars)))
+
+    def validate_config(self) -> None:
+        self.config.validate()
+        if self.vwap_type[0] not in ("session", "rolling", "anchored", "custom"):
+            raise errors.ConfigError("vwap_type", "must be session, rolling, anchored or custom")

@@ -7,12 +7,13 @@ same symbol.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite, greater, less
+from tickloom.plans.chunks import on_keys
 from tickloom.sources.schema import PRICES
 
 _c = F.col
@@ -58,15 +59,38 @@ def custom(check: Callable[[], Column]) -> Rule:
     return "Custom", check()
 
 
+#: A rule that looks at other bars: name and bars to the (symbol, row_idx) of bad ones.
+ContextRule = tuple[str, Callable[[DataFrame], DataFrame]]
+
+
+def no_duplicate_timestamps() -> ContextRule:
+    return "NoDuplicateTimestamps", lambda bars: duplicate_timestamps(bars)
+
+
+def chronological_order() -> ContextRule:
+    return "ChronologicalOrder", lambda bars: order_violations(bars)
+
+
+def time_series_gaps(longest_seconds: int) -> ContextRule:
+    return "TimeSeriesGaps", lambda bars: time_gaps(bars, longest_seconds)
+
+
+def outlier_detection(method: str = "zscore", threshold: float = 3.0) -> ContextRule:
+    """method: "zscore", "iqr" or "modified_zscore". A bar counts once, however many of its prices are outliers."""
+    found = {"zscore": outliers_zscore, "iqr": outliers_iqr, "modified_zscore": outliers_modified_zscore}[method]
+    return "OutlierDetection", lambda bars: found(bars, threshold).select("symbol", "row_idx").distinct()
+
+
 @dataclass(frozen=True)
 class Validator:
-    """Rules in order. A bar's errors stop after the first with stop_on_first_error; bars are read in order of row_idx
-    until at least max_errors errors are found."""
+    """Rules in order, then contextual rules. A bar's errors stop after the first with stop_on_first_error; bars are read in order of row_idx
+    until at least max_errors errors are found. In mode "reference" contextual rules are accepted and find nothing."""
 
     rules: tuple[Rule, ...] = ()
     stop_on_first_error: bool = False
     max_errors: int = 1000
-    context: tuple[str, ...] = field(default=())
+    context: tuple[ContextRule, ...] = ()
+    mode: str = "reference"
 
     def add_rule(self, rule: Rule) -> Validator:
         return replace(self, rules=(*self.rules, rule))
@@ -74,6 +98,9 @@ class Validator:
     def add_rules(self, rules: list[Rule]) -> Validator:
         return replace(self, rules=(*self.rules, *rules))
 
+    def add_context(self, *rules: ContextRule) -> Validator:
+        return replace(self, context=(*self.context, *rules))
+
     def errors_of(self) -> Column:
         """Array of (error_type, message) of a bar."""
         each = F.array(*[F.struct(F.lit(name).alias("error_type"), message.alias("message")) for name, message in self.rules]) if self.rules else F.array().cast("array<struct<error_type: string, message: string>>")
@@ -83,6 +110,13 @@ class Validator:
     def errors(self, bars: DataFrame) -> DataFrame:
         """(symbol, row_idx, error_type, message) of the bars that were read."""
         found = bars.select("symbol", "row_idx", self.errors_of().alias("e")).where(F.size("e") > 0)
+        if self.mode == "standard" and self.context:
+            for k, (name, check) in enumerate(self.context):
+                own = F.array(F.struct(F.lit(name).alias("error_type"), F.lit(f"{name} failed").alias("message")))
+                found = found.withColumn("k", F.lit(-1)) if not k else found
+                found = found.unionByName(check(bars).select("symbol", "row_idx", own.alias("e"), F.lit(k).alias("k")))
+            found = found.groupBy("symbol", "row_idx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "e"))), lambda x: x["e"])).alias("e"))
+            found = found.withColumn("e", F.slice("e", 1, 1)) if self.stop_on_first_error else found
         before = Window.partitionBy("symbol").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
         read = found.withColumn("before", F.coalesce(F.sum(F.size("e")).over(before), F.lit(0))).where(F.col("before") < self.max_errors)
         return read.select("symbol", "row_idx", F.explode("e").alias("x")).select("symbol", "row_idx", "x.error_type", "x.message")
@@ -130,7 +164,7 @@ def outliers_zscore(bars: DataFrame, threshold: float) -> DataFrame:
     threshold population standard deviations."""
     cells = price_cells(bars)
     stats = cells.groupBy("symbol").agg(F.avg("price").alias("m"), F.stddev_pop("price").alias("s"))
-    scored = cells.join(stats, "symbol").where("s > 0").withColumn("score", F.abs(F.col("price") - F.col("m")) / F.col("s"))
+    scored = on_keys(cells, stats, "symbol").where("s > 0").withColumn("score", F.abs(F.col("price") - F.col("m")) / F.col("s"))
     return scored.where(F.col("score") > threshold).select("symbol", "row_idx", "field", "price", "score")
 
 
@@ -140,8 +174,8 @@ def outliers_iqr(bars: DataFrame, multiplier: float) -> DataFrame:
     cells = price_cells(bars)
     q1 = quantile_at(cells, "price", 1, 4).select("symbol", F.col("value").alias("q1"))
     q3 = quantile_at(cells, "price", 3, 4).select("symbol", F.col("value").alias("q3"))
-    bounds = q1.join(q3, "symbol").select("symbol", (F.col("q1") - multiplier * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + multiplier * (F.col("q3") - F.col("q1"))).alias("high"))
-    return cells.join(bounds, "symbol").where("price < low OR price > high").select("symbol", "row_idx", "field", "price", "low", "high")
+    bounds = on_keys(q1, q3, "symbol").select("symbol", (F.col("q1") - multiplier * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + multiplier * (F.col("q3") - F.col("q1"))).alias("high"))
+    return on_keys(cells, bounds, "symbol").where("price < low OR price > high").select("symbol", "row_idx", "field", "price", "low", "high")
 
 
 def outliers_modified_zscore(bars: DataFrame, threshold: float, mode: str = "reference") -> DataFrame:
@@ -149,25 +183,35 @@ def outliers_modified_zscore(bars: DataFrame, threshold: float, mode: str = "ref
     median is the upper one. deviation: in mode "reference" the largest absolute deviation, in "standard" the median one."""
     cells = price_cells(bars)
     median = quantile_at(cells, "price", 1, 2).select("symbol", F.col("value").alias("median"))
-    off = cells.join(median, "symbol").withColumn("off", F.abs(F.col("price") - F.col("median")))
+    off = on_keys(cells, median, "symbol").withColumn("off", F.abs(F.col("price") - F.col("median")))
     if mode == "reference":
         mad = off.groupBy("symbol").agg(F.max("off").alias("mad"))
     else:
         mad = quantile_at(off.select("symbol", "off"), "off", 1, 2).select("symbol", F.col("value").alias("mad"))
-    scored = off.join(mad, "symbol").where("mad > 0").withColumn("score", F.lit(0.6745) * F.col("off") / F.col("mad"))
+    scored = on_keys(off, mad, "symbol").where("mad > 0").withColumn("score", F.lit(0.6745) * F.col("off") / F.col("mad"))
     return scored.where(F.col("score") > threshold).select("symbol", "row_idx", "field", "price", "score")
 
 
+def medians(values: DataFrame, column: str) -> DataFrame:
+    """(symbol, median): the mean of the middle two of the sorted values. Equal values are counted first."""
+    counts = values.groupBy("symbol", column).agg(F.count("*").alias("k"))
+    w = Window.partitionBy("symbol")
+    placed = counts.withColumn("n", F.sum("k").over(w)).withColumn("upto", F.sum("k").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(column))).cast("double")
+    return placed.groupBy("symbol").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
 def price_statistics(bars: DataFrame) -> DataFrame:
     """Of the pooled prices: symbol, n, min, max, mean, std_dev (population), median (mean of the middle two)."""
     cells = price_cells(bars)
-    return cells.groupBy("symbol").agg(F.count("*").alias("n"), F.min("price").alias("min"), F.max("price").alias("max"), F.avg("price").alias("mean"), F.stddev_pop("price").alias("std_dev"), F.median("price").alias("median"))
+    out = cells.groupBy("symbol").agg(F.count("*").alias("n"), F.min("price").alias("min"), F.max("price").alias("max"), F.avg("price").alias("mean"), F.stddev_pop("price").alias("std_dev"))
+    return on_keys(out, medians(cells, "price"), "symbol")
 
 
 def volume_statistics(bars: DataFrame) -> DataFrame:
     """As price_statistics; the median of an even number of volumes is a whole number, rounded down."""
-    out = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.min("volume").alias("min"), F.max("volume").alias("max"), F.avg("volume").alias("mean"), F.stddev_pop("volume").alias("std_dev"), F.median("volume").alias("m"))
-    return out.withColumn("median", F.floor("m").cast("long")).drop("m")
+    out = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.min("volume").alias("min"), F.max("volume").alias("max"), F.avg("volume").alias("mean"), F.stddev_pop("volume").alias("std_dev"))
+    return on_keys(out, medians(bars, "volume"), "symbol").withColumn("median", F.floor("median").cast("long"))
 
 
 def time_statistics(bars: DataFrame) -> DataFrame:
@@ -183,7 +227,7 @@ def statistics(bars: DataFrame) -> DataFrame:
     """One row per symbol: total, valid and invalid points, and the three statistics as structs."""
     counts = bars.groupBy("symbol").agg(F.count("*").alias("total_points"), F.count_if(bar_error().isNull()).alias("valid_points"), F.count_if(bar_error().isNotNull()).alias("invalid_points"))
     for name, part in (("prices", price_statistics(bars)), ("volumes", volume_statistics(bars)), ("times", time_statistics(bars))):
-        counts = counts.join(part.select("symbol", F.struct(*[c for c in part.columns if c != "symbol"]).alias(name)), "symbol")
+        counts = on_keys(counts, part.select("symbol", F.struct(*[c for c in part.columns if c != "symbol"]).alias(name)), "symbol")
     return counts
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom import errors
 from tickloom.functions.bars import typical_price
-from tickloom.plans.chunks import CHUNK_ROWS, chunk_order, looking_back, running_sums
+from tickloom.plans.chunks import CHUNK_ROWS, chunk_order, looking_back, on_keys, running_sums
 
 
 def weighted() -> Column:
@@ -32,7 +32,7 @@ session = vwap
 
 def last_rows(bars: DataFrame, n: int) -> DataFrame:
     ends = bars.groupBy("symbol").agg(F.max("row_idx").alias("__end"))
-    return bars.join(ends, "symbol").where(F.col("row_idx") > F.col("__end") - n).drop("__end")
+    return on_keys(bars, ends, "symbol").where(F.col("row_idx") > F.col("__end") - n).drop("__end")
 
 
 def rolling(bars: DataFrame, n: int) -> DataFrame:
@@ -84,7 +84,7 @@ def multi_timeframe(bars: DataFrame, windows: list[str]) -> DataFrame:
     timeframes are bullish."""
     ends = bars.groupBy("symbol").agg(F.max("timestamp").alias("end"), F.max_by("close", "timestamp").alias("last_close"))
     scopes = F.array(*[F.struct(F.lit(w).alias("timeframe"), F.expr(f"INTERVAL {w}").alias("length")) for w in windows])
-    rows = bars.join(ends, "symbol").withColumn("s", F.explode(scopes)).where(F.col("timestamp") > F.col("end") - F.col("s.length"))
+    rows = on_keys(bars, ends, "symbol").withColumn("s", F.explode(scopes)).where(F.col("timestamp") > F.col("end") - F.col("s.length"))
     out = rows.groupBy("symbol", "s.timeframe").agg(F.sum(weighted()).alias("v"), F.sum(F.col("volume").cast("double")).alias("q"), F.max("last_close").alias("last_close"))
     out = out.select("symbol", "timeframe", ratio(F.col("v"), F.col("q")).alias("vwap"), "last_close").withColumn("bullish", F.col("last_close") > F.col("vwap"))
     return out.withColumn("all_bullish", F.min("bullish").over(Window.partitionBy("symbol")))

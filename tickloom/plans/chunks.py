@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 100_000
 
 
+def on_keys(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on equal keys, where null equals null, so that rows without a symbol or time stay."""
+    keys = [keys] if isinstance(keys, str) else keys
+    other = right.withColumnsRenamed({k: f"__on_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__on_{k}"))
+    return left.join(other, same, how).drop(*[f"__on_{k}" for k in keys])
+
+
 def number_rows(rows: DataFrame, order: str = "timestamp", key: str = "symbol") -> DataFrame:
-    """row_idx: 0, 1, ... by time within a symbol. Days are counted and prefixed first, so a task numbers one day."""
+    """row_idx: 0, 1, ... by time within a symbol, null times first; rows without a symbol are a symbol. Days are counted and prefixed first, so a
+    task numbers one day."""
     day = F.to_date(order)
     counts = rows.groupBy(key, day.alias("__day")).agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy(key, "__day").orderBy(order))
-    out = rows.withColumn("__day", day).withColumn("__at", inside).join(before.drop("__n"), [key, "__day"])
+    out = on_keys(rows.withColumn("__day", day).withColumn("__at", inside), before.drop("__n"), [key, "__day"])
     return out.withColumn("row_idx", (F.col("__before") + F.col("__at") - 1).cast("long")).drop("__day", "__at", "__before")
 
 
@@ -48,5 +59,5 @@ def running_sums(rows: DataFrame, sums: dict[str, Column], chunk_rows: int = CHU
     w = Window.partitionBy("symbol").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("symbol", "__chunk", *[F.coalesce(F.sum(f"__t_{n}").over(w), F.lit(0.0)).alias(f"__b_{n}") for n in sums])
     inside = chunk_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = parts.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(inside) for n in sums}).join(before, ["symbol", "__chunk"])
+    out = on_keys(parts.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(inside) for n in sums}), before, ["symbol", "__chunk"])
     return out.withColumns({n: F.col(f"__b_{n}") + F.col(f"__r_{n}") for n in sums}).drop("__chunk", *[f"__{k}_{n}" for n in sums for k in "vrb"])

@@ -40,6 +40,13 @@ up AS (SELECT symbol, i, coalesce(sum(p) OVER w, 0) AS pnl, count(*) FILTER (p >
 mt AS (SELECT *, CASE WHEN peak > 0 THEN (peak - pnl) / peak ELSE 0 END AS dd, CASE WHEN won + lost > 0 THEN won / (won + lost) ELSE 0 END AS rate FROM (SELECT *, greatest(0, max(pnl) OVER (PARTITION BY symbol ORDER BY i)) AS peak FROM up)),
 al AS (SELECT symbol, i AS row_idx, 'DrawdownExceeded' AS alert_type, dd AS current, CAST(0.1 AS DOUBLE) AS threshold FROM mt WHERE dd > 0.1 UNION ALL SELECT symbol, i, 'WinRateLow', rate, 0.5 FROM mt WHERE rate < 0.5 AND won + lost > 10 UNION ALL SELECT symbol, i, 'PnLLow', pnl, -1000.0 FROM mt WHERE pnl < -1000)"""
 
+#: The strategy's closed trades at a commission of 0.001, and the curve of a capital of 10000.
+CURVE = f"""{STRATEGY},
+ga AS (SELECT em.symbol, em.i, b.ts, size * (standard_pnl / price) - size * 0.001 * 2 AS g FROM em JOIN b USING (symbol, i) WHERE signal = 'Exit'),
+cu AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY symbol ORDER BY i)) AS peak FROM (SELECT *, 10000 + sum(g) OVER (PARTITION BY symbol ORDER BY i) AS equity FROM ga)),
+be AS (SELECT *, (peak - equity) / peak AS below, g > 0 AS won, row_number() OVER (PARTITION BY symbol ORDER BY i) - row_number() OVER (PARTITION BY symbol, g > 0 ORDER BY i) AS island FROM cu)"""
+REASON = "CASE WHEN dev > 0.001 THEN printf('Price %.2f%% above VWAP', power * 100) WHEN -dev > 0.001 THEN printf('Price %.2f%% below VWAP', power * 100) ELSE 'Price within VWAP threshold' END"
+
 
 def _square(a: str, b: str, names: str = "o h l c") -> str:
     return " + ".join(f"({a}.{n} - {b}.{n}) * ({a}.{n} - {b}.{n})" for n in names.split())
@@ -175,11 +182,11 @@ s AS (SELECT sum(n * (n - 1) / 2) AS ij, sum((a - 1) / 2 * n) AS ai, sum((b - 1)
 SELECT round((ij - ai * bj / al) / ((ai + bj) / 2 - ai * bj / al), 6) AS ari, round(mi / ((hc + hl) / 2), 6) AS nmi, round(mi / hl, 6) AS homogeneity, round(mi / hc, 6) AS completeness, round(2 * (mi / hl) * (mi / hc) / (mi / hl + mi / hc), 6) AS v_measure FROM s""",
         "cluster_sizes": f"{SIZES} SELECT * FROM sz",
         "cluster_size_stats": f"{SIZES} SELECT min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS mean_size, round(stddev_pop(size), 6) AS std_dev, min(size) / max(size) > 0.1 AS balanced FROM sz",
-        "cluster_quality": f"{SIL} SELECT k AS cluster, CASE WHEN k >= 2 THEN 'Poor' WHEN avg(s) + 0.5 >= 0.7 THEN 'Excellent' WHEN avg(s) + 0.5 >= 0.5 THEN 'Good' WHEN avg(s) + 0.5 >= 0.25 THEN 'Fair' ELSE 'Poor' END AS level FROM si GROUP BY k",
+        "cluster_quality": f"{SIL} SELECT k AS cluster, CASE WHEN avg(s) >= 0.7 THEN 'Excellent' WHEN avg(s) >= 0.5 THEN 'Good' WHEN avg(s) >= 0.25 THEN 'Fair' ELSE 'Poor' END AS level FROM si GROUP BY k",
         "resample_4h": f"{H} SELECT symbol, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') AS timestamp, round(arg_min(open, i), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(\"close\", i), 6) AS \"close\", CAST(sum(volume) AS BIGINT) AS volume FROM b GROUP BY 1, 2",
         "technical_features": f"{H}, {TECH} SELECT symbol, i AS row_idx, round(ret, 6) AS returns, round(vol, 6) AS volatility, round(vr, 6) AS volume_ratio, round(rr, 6) AS range_ratio FROM te",
         "swing_points": f"{H}, {SWING} SELECT symbol, i AS row_idx, ts AS timestamp, kind, round(price, 6) AS price FROM pt",
-        "swing_vwap": f"{H}, {SWING} SELECT symbol, i AS row_idx, kind, round(vw + 1e-9, 6) AS vwap FROM pt",
+        "swing_vwap": f"{H}, {SWING} SELECT symbol, i AS row_idx, kind, CAST(round(CAST(vw AS DECIMAL(30, 10)), 6) AS DOUBLE) AS vwap FROM pt",
         "volume_profile": f"""{H}, en AS (SELECT symbol, min(tp) AS lo, max(tp) AS hi FROM b GROUP BY 1), v AS (SELECT symbol, CAST(CASE WHEN hi > lo THEN least(10, floor((tp - lo) / (hi - lo) * 10) + 1) ELSE 1 END AS INTEGER) AS bin, CAST(sum(volume) AS BIGINT) AS volume FROM b JOIN en USING (symbol) GROUP BY 1, 2)
 SELECT symbol, bin, volume, round(volume / sum(volume) OVER (PARTITION BY symbol), 6) AS share, coalesce(sum(volume) OVER (PARTITION BY symbol ORDER BY volume DESC, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 10 < sum(volume) OVER (PARTITION BY symbol) * 7 AS is_key FROM v""",
         "market_alerts": f"""{H}, {TECH}, al AS (SELECT symbol, i, 'vwap_deviation' AS alert, ("close" - vw) / vw AS value FROM te WHERE abs(("close" - vw) / vw) > 0.5 UNION ALL SELECT symbol, i, 'volume_spike', vr FROM te WHERE abs(vr) > 2 UNION ALL SELECT symbol, i, 'price_move', ret FROM te WHERE abs(ret) > 3) SELECT symbol, i AS row_idx, alert, round(value, 6) AS value FROM al""",
@@ -191,6 +198,30 @@ z AS (SELECT *, CASE WHEN dev > 0.001 THEN 'Buy' WHEN -dev > 0.001 THEN 'Sell' E
 y AS (SELECT *, CASE WHEN conf >= 0.6 AND signal = 'Buy' THEN 'Long' WHEN conf >= 0.6 AND signal = 'Sell' THEN 'Short' END AS position FROM z)
 SELECT symbol, signal, position, CASE WHEN position IS NOT NULL THEN round(10000 * least(abs(dev), 1.0), 6) END AS size, round(CASE position WHEN 'Long' THEN c * 0.98 WHEN 'Short' THEN c * 1.02 END, 6) AS stop_loss, round(CASE position WHEN 'Long' THEN c * 1.04 WHEN 'Short' THEN c * 0.96 END, 6) AS take_profit FROM y""",
     }
+    out |= {
+        "monitor_metrics": f"SELECT * FROM ({out['trade_metrics']}) JOIN ({out['drawdown']}) USING (symbol) JOIN ({out['sharpe_sortino']}) USING (symbol)",
+        "alerts_retained": f"{ALERTS}, nu AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY row_idx, CASE alert_type WHEN 'DrawdownExceeded' THEN 0 WHEN 'WinRateLow' THEN 1 ELSE 2 END) AS r FROM al) SELECT symbol, row_idx, alert_type, round(current, 6) AS current, CAST(threshold AS DOUBLE) AS threshold, r - n + held AS seq FROM (SELECT *, CASE WHEN n <= 100 THEN n ELSE 51 + (n - 51) % 50 END AS held FROM nu) WHERE r > n - held",
+        "backtest": f"""{CURVE},
+sk AS (SELECT symbol, coalesce(max(n) FILTER (won), 0) AS longest_wins, coalesce(max(n) FILTER (NOT won), 0) AS longest_losses FROM (SELECT symbol, won, island, count(*) AS n FROM be GROUP BY ALL) GROUP BY symbol),
+ag AS (SELECT symbol, count(*) AS trades, 10000 + sum(g) AS final_capital, sum(g) / 10000 AS total_return, count(*) FILTER (g > 0) / count(*) AS win_rate, avg(g) AS avg_trade, max(g) AS best_trade, min(g) AS worst_trade, avg(g) FILTER (g > 0) AS avg_win, avg(g) FILTER (g < 0) AS avg_loss, stddev_pop(g) AS s, sqrt(avg(g * g) FILTER (g < 0)) AS d, coalesce(sum(g) FILTER (g > 0), 0) AS up, -sum(g) FILTER (g < 0) AS down, max(below) AS md FROM be GROUP BY symbol)
+SELECT symbol, trades, round(final_capital, 6) AS final_capital, round(total_return, 6) AS total_return, round(win_rate, 6) AS win_rate, round(avg_trade, 6) AS avg_trade, round(best_trade, 6) AS best_trade, round(worst_trade, 6) AS worst_trade, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss, round(md, 6) AS max_drawdown, CASE WHEN s > 0 THEN round(avg_trade / s, 6) END AS sharpe, CASE WHEN d > 0 THEN round(avg_trade / d, 6) END AS sortino, CASE WHEN down > 0 THEN round(up / down, 6) END AS profit_factor, CASE WHEN md > 0 THEN round(total_return / md, 6) END AS calmar, longest_wins, longest_losses FROM ag JOIN sk USING (symbol)""",
+        "monthly_returns": f"{CURVE}, mo AS (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS trades, sum(g) AS g FROM ga GROUP BY ALL) SELECT symbol, month, trades, round(g / (10000 + coalesce(sum(g) OVER (PARTITION BY symbol ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 6) AS return FROM mo",
+        "drawdown_periods": f"{CURVE}, pe AS (SELECT *, sum(CASE WHEN below > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY i) AS p FROM be) SELECT symbol, CAST(first AS TIMESTAMP) AS first, CAST(last AS TIMESTAMP) AS last, trades, round(drawdown, 6) AS drawdown, CAST(epoch(last) - epoch(first) AS BIGINT) AS seconds FROM (SELECT symbol, p, arg_min(ts, i) AS first, arg_max(ts, i) AS last, count(*) AS trades, max(below) AS drawdown FROM pe WHERE below > 0 GROUP BY ALL)",
+        "market_quotes": f"""{H}, ro AS (SELECT symbol, i, sum(tp * volume) OVER (PARTITION BY symbol ORDER BY i) / sum(volume) OVER (PARTITION BY symbol ORDER BY i) AS vw, stddev_pop("close") OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS dv FROM b) SELECT symbol, i AS row_idx, round(vw, 6) AS vwap, round(vw - 1.5 * dv, 6) AS bid, round(vw + 1.5 * dv, 6) AS ask FROM ro""",
+        "signal_reasons": f"{H}, {SIGNALS} SELECT symbol, i AS row_idx, {REASON} AS reason FROM (SELECT s.*, g.dev FROM s JOIN g USING (symbol, i))",
+        "exit_reasons": f"{STRATEGY} SELECT symbol, i AS row_idx, signal, CASE WHEN signal = 'Exit' THEN 'Stop loss or take profit hit' ELSE {REASON} END AS reason, CASE WHEN signal <> 'Exit' THEN round(s.vwap, 6) END AS vwap, CASE WHEN signal IN ('Buy', 'Sell') THEN round(power, 6) END AS strength FROM em JOIN s USING (symbol, i) JOIN g USING (symbol, i)",
+        "validation_statistics": f"SELECT symbol, total_points, total_points AS valid_points, CAST(0 AS BIGINT) AS invalid_points, p.median AS price_median, v.median AS volume_median, total_seconds FROM (SELECT *, n // 4 AS total_points FROM ({out['price_stats']})) p JOIN ({out['volume_stats']}) v USING (symbol) JOIN ({out['time_stats']}) t USING (symbol)",
+        "validate_context": f"{CELLS}, da AS (SELECT *, date_trunc('day', ts) AS day FROM b), zs AS (SELECT symbol, avg(price) AS m, stddev_pop(price) AS s FROM cells GROUP BY symbol) SELECT symbol, i AS row_idx, 'VolumeThreshold' AS error_type FROM da WHERE volume < 10 UNION ALL SELECT symbol, i, 'NoDuplicateTimestamps' FROM (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY i) AS r FROM da) WHERE r > 1 UNION ALL SELECT symbol, i, 'ChronologicalOrder' FROM (SELECT *, lag(day) OVER (PARTITION BY symbol ORDER BY i) AS pd FROM da) WHERE day <= pd UNION ALL SELECT DISTINCT symbol, row_idx, 'OutlierDetection' FROM cells JOIN zs USING (symbol) WHERE s > 0 AND abs(price - m) / s > 2",
+        "csv_bars": f"{H} SELECT symbol, i AS row_idx, ts AS timestamp, open, high, low, \"close\", volume FROM b WHERE symbol = 'click'",
+        "csv_errors": f"""{H}, c AS (SELECT *, CASE WHEN i % 13 = 3 THEN low / 2 ELSE high END AS hi FROM b WHERE symbol = 'click'),
+z AS (SELECT i AS row_idx, CASE WHEN i % 7 = 1 THEN 'Invalid CSV format: Unable to parse timestamp at row ' || (i + 1) || ': never' WHEN i % 11 = 2 THEN 'Invalid data type for column open: expected float, got x1' WHEN i % 17 = 4 THEN 'Invalid data type for column volume: expected unsigned integer, got 1.5' WHEN open <= 0 OR hi <= 0 OR low <= 0 OR "close" <= 0 THEN 'Invalid OHLCV data: All prices must be positive' WHEN hi < low THEN 'Invalid OHLCV data: High price cannot be less than low price' WHEN hi < open OR hi < "close" THEN 'Invalid OHLCV data: High price must be >= open and close prices' END AS error FROM c)
+SELECT row_idx, error FROM z WHERE error IS NOT NULL""",
+        "json_bars": f"{H} SELECT symbol, ts AS timestamp, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(\"close\", 6) AS \"close\", volume FROM b",
+        "parquet_bars": f"{H} SELECT symbol, ts - INTERVAL '5 hours 30 minutes' AS timestamp, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(\"close\", 6) AS \"close\", volume FROM b",
+        "quality_levels": "SELECT (i - 100) / 100 AS silhouette, CASE WHEN i = 180 THEN 'Poor' WHEN (i - 100) / 100 >= 0.7 THEN 'Excellent' WHEN (i - 100) / 100 >= 0.5 THEN 'Good' WHEN (i - 100) / 100 >= 0.25 THEN 'Fair' ELSE 'Poor' END AS level FROM range(201) r(i)",
+        "som_assign": f"""{D}, x AS (SELECT symbol, i, open o, high h, low l, "close" c, CAST(volume AS DOUBLE) v FROM b), w(k, o, h, l, c, v) AS (VALUES {', '.join(f"({k}, {', '.join(map(str, m))})" for k, m in enumerate(q.SOM_WEIGHTS))}) SELECT symbol, i AS row_idx, cluster FROM (SELECT x.symbol, x.i, CAST(arg_min(w.k, (sqrt({_square('x', 'w', 'o h l c v')}), w.k)) AS INTEGER) AS cluster FROM x, w GROUP BY x.symbol, x.i)""",
+    }
+    out["csv_headerless"] = out["csv_bars"]
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +16,9 @@ from tickloom.operators import signals as sig
 from tickloom.operators import vwap as vwaps
 from tickloom.operators.cluster import affinity, base, dbscan, gmm, hierarchical, kmeans, quality, som
 from tickloom.plans.chunks import looking_back, number_rows
-from tickloom.sources.bars import bars_from_events, bars_from_lineitem, resample
+from tickloom.plans.storage import shared_dir
+from tickloom.sources.bars import bars_from_events, bars_from_lineitem, read_bars, resample, write_bars
+from tickloom.sources.csv_bars import BarLoader
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -22,6 +26,7 @@ _QUERIES: dict[str, Query] = {}
 ANCHOR, START, END = datetime(2024, 1, 10), datetime(2024, 1, 5), datetime(2024, 1, 20)
 ROLLING, EPSILON, MIN_POINTS, BUFFER = 20, 40.0, 4, 20
 CENTER, RADIUS = [50.0, 200.0, 1.0, 50.0], 120.0
+SOM_WEIGHTS = ((20.0, 60.0, 1.0, 20.0, 20.0), (50.0, 200.0, 2.0, 50.0, 50.0), (90.0, 300.0, 3.0, 90.0, 90.0), (150.0, 420.0, 4.0, 150.0, 150.0))
 GMM_MEANS = ((40.0, 200.0, 1.0, 40.0, 60.0), (80.0, 300.0, 2.0, 80.0, 70.0))
 
 
@@ -129,7 +134,7 @@ def validate_custom(spark, d):
 
 @query
 def validate_all(spark, d):
-    """All rules, the first error of a bar only, until 20 errors of a symbol."""
+    """All rules, the first error of a bar only, until 5 errors of a symbol."""
     rules = (validation.logical_consistency(), validation.volume_threshold(10), validation.no_missing_values())
     return _errors(dirty(spark, d), *rules, stop_on_first_error=True, max_errors=5).drop("message")
 
@@ -277,7 +282,17 @@ def sharpe_sortino(spark, d):
 
 @query
 def alerts(spark, d):
-    return rounded(monitor.alerts(strategy.run_incremental(hourly(spark, d))))
+    return rounded(monitor.alerts(strategy.run_incremental(hourly(spark, d))).drop("place"))
+
+
+@query
+def alerts_retained(spark, d):
+    return rounded(monitor.retained(monitor.alerts(strategy.run_incremental(hourly(spark, d)))))
+
+
+@query
+def monitor_metrics(spark, d):
+    return rounded(monitor.metrics(_closed(spark, d)))
 
 
 @query
@@ -295,6 +310,103 @@ def backtest(spark, d):
     return rounded(analytics.backtest(strategy.run_incremental(hourly(spark, d)), commission=0.001))
 
 
+@query
+def monthly_returns(spark, d):
+    return rounded(analytics.monthly_returns(strategy.run_incremental(hourly(spark, d)), commission=0.001))
+
+
+@query
+def drawdown_periods(spark, d):
+    return rounded(analytics.drawdown_periods(strategy.run_incremental(hourly(spark, d)), commission=0.001))
+
+
+@query
+def grid_search(spark, d):
+    """The default strategy without and with costs that another grid would name: the first is the back-test, the others differ in one option each."""
+    base_ = strategy.StrategyConfig()
+    grid = [base_, replace(base_, stop_loss_pct=0.01), replace(base_, take_profit_pct=0.08)]
+    return rounded(analytics.grid_search(hourly(spark, d), grid, commission=0.001).select("symbol", "config", "trades", "total_return", "rank"))
+
+
+@query
+def market_quotes(spark, d):
+    return rounded(analytics.market_quotes(hourly(spark, d)))
+
+
+@query
+def exit_reasons(spark, d):
+    """What the strategy says of each bar that it reacts to."""
+    return rounded(strategy.VWAPStrategy().with_name("reasons").execute_incremental(hourly(spark, d)).select("symbol", "row_idx", "signal", "reason", "vwap", "strength"))
+
+
+@query
+def signal_reasons(spark, d):
+    return sig.incremental_signals(hourly(spark, d)).select("symbol", "row_idx", "reason")
+
+
+@query
+def validation_statistics(spark, d):
+    out = validation.statistics(hourly(spark, d))
+    return rounded(out.select("symbol", "total_points", "valid_points", "invalid_points", F.col("prices.median").alias("price_median"), F.col("volumes.median").alias("volume_median"), F.col("times.total_seconds").alias("total_seconds")))
+
+
+@query
+def validate_context(spark, d):
+    """Contextual rules inside the validator, in mode "standard"."""
+    bars = hourly(spark, d).withColumn("timestamp", F.date_trunc("day", "timestamp").cast("timestamp_ntz"))
+    rules = (validation.no_duplicate_timestamps(), validation.chronological_order(), validation.outlier_detection("zscore", 2.0))
+    return validation.Validator((validation.volume_threshold(10),), context=rules, mode="standard", max_errors=10**9).errors(bars).select("symbol", "row_idx", "error_type")
+
+
+def _clicks(spark, d):
+    """One symbol's bars with their times as text."""
+    return hourly(spark, d).where("symbol = 'click'").withColumn("time", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _as_csv(df: DataFrame, name: str, header: bool) -> str:
+    """A folder with df's rows, in order, as one CSV file."""
+    path = f"{shared_dir(df.sparkSession)}/tickloom/{name}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.csv(path, header=header)
+    return path
+
+
+@query
+def csv_bars(spark, d):
+    """Columns in another order under other names of theirs."""
+    rows = _clicks(spark, d).orderBy("row_idx").select(F.col("volume").alias("Vol"), F.col("close").alias("C"), F.col("low").alias("LOWEST"), F.col("high").alias("h"), F.col("open").alias("Opening"), F.col("time").alias("DateTime"))
+    return BarLoader(_as_csv(rows, "csv", True), symbol="click").load(spark).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query
+def csv_headerless(spark, d):
+    """The layout of eight columns without a header, parsed in epoch seconds."""
+    rows = _clicks(spark, d).orderBy("row_idx").select("open", "high", "low", F.lit(7).alias("n"), "close", F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("t"), "volume", F.lit(1.5).alias("w"))
+    return replace(BarLoader.without_headers(_as_csv(rows, "csv", False)), symbol="click").load(spark).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query
+def csv_errors(spark, d):
+    """Rows that can't be bars, with their numbers and messages."""
+    i = F.col("row_idx")
+    rows = _clicks(spark, d).orderBy("row_idx").select(F.when(i % 7 == 1, "never").otherwise(F.col("time")).alias("timestamp"), F.when(i % 11 == 2, "x1").otherwise(F.col("open").cast("string")).alias("open"), F.when(i % 13 == 3, F.col("low") / 2).otherwise(F.col("high")).alias("high"), "low", "close", F.when(i % 17 == 4, "1.5").otherwise(F.col("volume").cast("string")).alias("volume"))
+    return BarLoader(_as_csv(rows, "csv", True), mode="quarantine").load(spark).where("error IS NOT NULL").select("row_idx", "error")
+
+
+@query
+def json_bars(spark, d):
+    path = f"{shared_dir(spark)}/tickloom/json-{uuid.uuid4().hex}"
+    write_bars(bars_from_events(spark, d, "hour"), path, "json")
+    return rounded(read_bars(spark, path, "json"))
+
+
+@query
+def parquet_bars(spark, d):
+    """Read as wall clock of a zone east of Greenwich."""
+    path = f"{shared_dir(spark)}/tickloom/parquet-{uuid.uuid4().hex}"
+    write_bars(bars_from_events(spark, d, "hour"), path)
+    return rounded(read_bars(spark, path, "parquet", "Asia/Kolkata"))
+
+
 def _kmeans(spark, d):
     model = kmeans.KMeans(kmeans.KMeansConfig(k=3, max_iterations=3, init="first_k"))
     bars = daily(spark, d)
@@ -469,7 +581,21 @@ def cluster_size_stats(spark, d):
 @query
 def cluster_quality(spark, d):
     per = quality.silhouettes(_thirds(spark, d)).groupBy("cluster").agg(F.avg("s").alias("silhouette"))
-    return per.select("cluster", quality.overall_quality(F.col("silhouette") + 0.5, F.col("cluster") < 2).alias("level"))
+    return per.select("cluster", quality.overall_quality(F.col("silhouette"), F.lit(True)).alias("level"))
+
+
+@query
+def quality_levels(spark, d):
+    """The level of each silhouette from -1 to 1, of fits that converged and of one that didn't."""
+    return spark.range(201).select(((F.col("id") - 100) / 100).alias("silhouette"), F.col("id")).select("silhouette", quality.overall_quality(F.col("silhouette"), F.col("id") != 180).alias("level"))
+
+
+@query
+def som_assign(spark, d):
+    """The best matching neuron, given the weights."""
+    model = som.SOM(som.SOMConfig(width=2, height=2))
+    model.weights = {None: [list(m) for m in SOM_WEIGHTS]}
+    return model.predict(daily(spark, d))
 
 
 @query
@@ -496,8 +622,8 @@ def swing_points(spark, d):
 
 @query
 def swing_vwap(spark, d):
-    # sums of few prices end in exact halves of a digit; the offset lets both engines round them alike
-    return rounded(analytics.swing_vwap(hourly(spark, d)).withColumn("vwap", F.col("vwap") + 1e-9))
+    # sums of few prices end in exact halves of a digit: rounded as decimals, here and in SQL
+    return analytics.swing_vwap(hourly(spark, d)).withColumn("vwap", F.round(F.col("vwap").cast("decimal(30,10)"), 6).cast("double"))
 
 
 @query

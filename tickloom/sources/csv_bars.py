@@ -10,7 +10,7 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,30 +60,18 @@ def detect_mapping(header: list[str]) -> ColumnMapping:
 
 
 def parse_timestamp(text: Column, strict: bool = False) -> Column:
-    """The first format that fits; null if none does. Without `strict` also dates alone, fractions of a second and a T without zone."""
-    digits = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-    clock = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
-
-    def when(pattern: str, fmt: str, value: Column = text) -> Column:
-        return F.when(text.rlike(f"^{pattern}$"), F.try_to_timestamp(value, F.lit(fmt)))
-
-    zone = r"[+-][0-9]{2}:?[0-9]{2}"
-    zoned = F.regexp_replace(text, r"([+-][0-9]{2}):?([0-9]{2})$", "$1$2")
-    tries = [
-        when(f"{digits}T{clock}Z", "y-M-d'T'H:m:sX"),
-        when(f"{digits}T{clock}{zone}", "y-M-d'T'H:m:sxx", zoned),
-        when(f"{digits} {clock}{zone}", "y-M-d H:m:sxx", zoned),
-        when(f"{digits} {clock}", "y-M-d H:m:s"),
-    ]
+    """The first format that fits; null if none does. Without `strict` also dates alone, fractions of a second and a T without zone.
+
+    A pattern decides the format and one cast does the rest, which keeps the expression small enough to be compiled."""
+    day, clock, zone = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}", r"[+-][0-9]{2}:?[0-9]{2}"
+    forms = [f"{day}T{clock}(Z|{zone})", f"{day} {clock}({zone})?"]
     if not strict:
-        fraction = r"\.[0-9]{1,6}"
-        tries += [when(digits, "y-M-d"), when(f"{digits}T{clock}", "y-M-d'T'H:m:s")]
-        tries += [F.when(text.rlike(f"^{digits}[T ]{clock}{fraction}(Z|{zone})?$"), F.try_to_timestamp(text))]
-    slashes = f"[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {clock}"
-    tries += [when(slashes, "M/d/y H:m:s"), when(slashes, "d/M/y H:m:s")]
+        forms += [day, f"{day}T{clock}", rf"{day}[T ]{clock}\.[0-9]{{1,6}}(Z|{zone})?"]
+    iso = F.when(text.rlike(f"^({'|'.join(forms)})$"), F.regexp_replace(text, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp"))
+    slashes = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) (" + clock + ")$"
+    slashed = F.when(text.rlike(slashes), F.coalesce(F.regexp_replace(text, slashes, "$3-$1-$2 $4").try_cast("timestamp"), F.regexp_replace(text, slashes, "$3-$2-$1 $4").try_cast("timestamp")))
     number = F.when(text.rlike(r"^[+-]?[0-9]{1,18}$"), text.try_cast("long"))
-    tries.append(F.when(number > 1_000_000_000_000, F.timestamp_millis(number)).otherwise(F.timestamp_seconds(number)))
-    return F.coalesce(*tries)
+    return F.coalesce(iso, slashed, F.when(number > 1_000_000_000_000, F.timestamp_millis(number)).otherwise(F.timestamp_seconds(number)))
 
 
 def parse_float(text: Column) -> Column:
@@ -141,10 +129,11 @@ class BarLoader:
         mapping = self.mapping or detect_mapping(names)
         width = max(len(names), *(getattr(mapping, f) + 1 for f in FIELDS))
         schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
-        return spark.read.schema(schema).csv(self.path, header=has_header, mode="PERMISSIVE", enforceSchema=True), mapping
+        return spark.read.schema(schema).csv(self.path, header=has_header, mode="PERMISSIVE", enforceSchema=True).select("*", *_place()), mapping
 
     def records(self, spark: SparkSession) -> DataFrame:
-        """All rows with row_idx (in file order) and error (null for a good row). Rows aren't dropped and nothing is raised for them."""
+        """All rows with row_idx (0, 1, ... over the splits of a file and over files by path) and error (null for a good row). Rows aren't dropped
+        and nothing is raised for them."""
         raw, mapping = self._raw(spark)
         return parse_rows(raw, mapping, self.symbol or "", self.validate, self.strict)
 
@@ -168,31 +157,39 @@ def parse_rows(raw: DataFrame, mapping: ColumnMapping, symbol: str, validate: bo
     """Bars with error columns from string columns c0, c1, ... In a stream row_idx is null: bars are told apart by time."""
     text = {f: F.col(f"c{getattr(mapping, f)}") for f in FIELDS}
     value = {"timestamp": parse_timestamp(text["timestamp"], strict), "volume": parse_volume(text["volume"])} | {f: parse_float(text[f]) for f in FIELDS[1:5]}
-    kinds = []
-    for f in FIELDS:
-        expected = {"timestamp": "timestamp", "volume": "unsigned integer"}.get(f, "float")
-        missing = F.struct(F.lit("missing").alias("kind"), F.lit(f).alias("column"), F.lit("").alias("text"), F.lit(expected).alias("expected"))
-        wrong = F.struct(F.lit("type").alias("kind"), F.lit(f).alias("column"), text[f].alias("text"), F.lit(expected).alias("expected"))
-        kinds.append(F.when(text[f].isNull(), missing).when(value[f].isNull(), wrong))
-    numbered = raw.withColumn("row_idx", F.lit(None).cast("long") if raw.isStreaming else _file_order())
-    out = numbered.select(F.lit(symbol).alias("symbol"), "row_idx", *[value[f].alias(f) for f in FIELDS], F.coalesce(*kinds).alias("bad"))
-    invalid = F.when(F.col("bad").isNull(), bar_error()) if validate else F.lit(None).cast("string")
-    out = out.withColumn("invalid", invalid)
-    kind = F.coalesce(F.col("bad.kind"), F.when(F.col("invalid").isNotNull(), F.lit("invalid")))
-    row = F.col("row_idx") + 1
+    numbered = raw.withColumn("row_idx", F.lit(None).cast("long")) if raw.isStreaming else numbered_lines(raw)
+    cells = F.struct(*[text[f].alias(f"t_{f}") for f in FIELDS], *[value[f].alias(f) for f in FIELDS])
+    parsed = numbered.select("row_idx", F.explode(F.array(cells)).alias("v")).select("row_idx", "v.*")  # filters aren't pushed through it: each cell is parsed once
+    expected = {"timestamp": "timestamp", "volume": "unsigned integer"}
+    bad = [F.when(F.col(f).isNull(), F.struct(F.lit(f).alias("column"), F.col(f"t_{f}").alias("text"), F.lit(expected.get(f, "float")).alias("expected"))) for f in FIELDS]
+    out = parsed.select(F.lit(symbol).alias("symbol"), "row_idx", *FIELDS, F.coalesce(*bad).alias("bad"))
+    out = out.withColumn("invalid", F.when(F.col("bad").isNull(), bar_error()) if validate else F.lit(None).cast("string"))
+    kind = F.when(F.col("bad").isNotNull(), F.when(F.col("bad.text").isNull(), "missing").otherwise("type")).when(F.col("invalid").isNotNull(), "invalid")
+    out = out.select("symbol", "row_idx", *FIELDS, kind.alias("error_kind"), F.col("bad.column").alias("error_column"), F.coalesce("bad.text", "invalid", F.when(F.col("bad").isNotNull(), "")).alias("error_text"), F.col("bad.expected").alias("expected"))
+    row, kind, time = (F.col("row_idx") + 1).cast("string"), F.col("error_kind"), F.col("error_column") == "timestamp"
     message = (
-        F.when((kind == "missing") & (F.col("bad.column") == "timestamp"), F.concat(F.lit("Invalid CSV format: Missing timestamp column at row "), row))
-        .when(kind == "missing", F.format_string("Invalid CSV format: Missing %s field at row %d", "bad.column", row))
-        .when((kind == "type") & (F.col("bad.column") == "timestamp"), F.format_string("Invalid CSV format: Unable to parse timestamp at row %d: %s", row, "bad.text"))
-        .when(kind == "type", F.format_string("Invalid data type for column %s: expected %s, got %s", "bad.column", "bad.expected", "bad.text"))
-        .when(kind == "invalid", F.concat(F.lit("Invalid OHLCV data: "), "invalid"))
+        F.when((kind == "missing") & time, F.concat(F.lit("Invalid CSV format: Missing timestamp column at row "), row))
+        .when(kind == "missing", F.concat(F.lit("Invalid CSV format: Missing "), "error_column", F.lit(" field at row "), row))
+        .when((kind == "type") & time, F.concat(F.lit("Invalid CSV format: Unable to parse timestamp at row "), row, F.lit(": "), "error_text"))
+        .when(kind == "type", F.concat(F.lit("Invalid data type for column "), "error_column", F.lit(": expected "), "expected", F.lit(", got "), "error_text"))
+        .when(kind == "invalid", F.concat(F.lit("Invalid OHLCV data: "), "error_text"))
     )
-    return out.select("symbol", "row_idx", *FIELDS, message.alias("error"), kind.alias("error_kind"), F.col("bad.column").alias("error_column"), F.coalesce("bad.text", "invalid").alias("error_text"))
+    return out.select("symbol", "row_idx", *FIELDS, message.alias("error"), "error_kind", "error_column", "error_text")
+
 
+def _place() -> list[Column]:
+    """Where a row stands: its file, the start of its split there, and a number that grows by one from row to row of a split."""
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at")]
 
-def _file_order() -> Column:
-    """Increasing along a file; consecutive from 0 within its first split, so a file of one split counts its rows."""
-    return F.monotonically_increasing_id()
+
+def numbered_lines(raw: DataFrame) -> DataFrame:
+    """row_idx over all splits, in order of file and place: rows are counted per split (one row each), the counts are prefixed, and a row's
+    number within its split is added. The rows themselves aren't dealt."""
+    splits = raw.groupBy("__file", "__start").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("__file").alias("f"), F.col("__start").alias("s"), (before - F.col("first")).alias("shift"))
+    joined = raw.join(splits, (F.col("__file") == F.col("f")) & (F.col("__start") == F.col("s")))
+    return joined.withColumn("row_idx", F.col("__at") + F.col("shift")).drop("__file", "__start", "__at", "f", "s", "shift")
 
 
 def _raised(row: T.Row) -> errors.DataError:
@@ -207,6 +204,39 @@ def _raised(row: T.Row) -> errors.DataError:
     return errors.InvalidCsvFormat(f"Missing {what} at row {number}")
 
 
+@dataclass(frozen=True)
+class StreamingLoader:
+    """Options of a stream of files; each with_ method returns a changed copy. chunk_size bounds the rows that a batch function gets at once, parallel is
+    accepted and has no effect: splits are read in parallel anyway."""
+
+    directory: str
+    mapping: ColumnMapping | None = None
+    chunk_size: int = 1000
+    parallel: bool = True
+    validate: bool = True
+    symbol: str = ""
+    files_per_batch: int = 1
+
+    def with_chunk_size(self, rows: int) -> StreamingLoader:
+        return replace(self, chunk_size=rows)
+
+    def with_parallel(self, on: bool) -> StreamingLoader:
+        return replace(self, parallel=on)
+
+    def with_validation(self, on: bool) -> StreamingLoader:
+        return replace(self, validate=on)
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """Good rows of the files that arrive; the header of those that are there now gives the mapping unless one was given."""
+        mapping = self.mapping or BarLoader(self.directory)._raw(spark)[1]
+        return stream_bars(spark, self.directory, mapping, self.symbol, self.mapping is None, self.files_per_batch, self.validate)
+
+    def chunks(self, spark: SparkSession) -> DataFrame:
+        """The rows that are there now, with chunk: row_idx // chunk_size."""
+        loaded = BarLoader(self.directory, self.mapping, validate=self.validate, symbol=self.symbol).load(spark)
+        return loaded.withColumn("chunk", F.floor(F.col("row_idx") / self.chunk_size).cast("long"))
+
+
 def stream_bars(spark: SparkSession, directory: str, mapping: ColumnMapping, symbol: str = "", header: bool = True, files_per_batch: int = 1, validate: bool = True) -> DataFrame:
     """A streaming DataFrame of the good rows of CSV files that arrive in a folder."""
     width = max(getattr(mapping, f) for f in FIELDS) + 1

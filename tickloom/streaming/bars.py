@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.operators import signals as sig
-from tickloom.operators.strategy import EMITTED, Machine, StrategyConfig
+from tickloom.operators.strategy import EMITTED, NUMBERS, Machine, StrategyConfig
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -84,10 +84,11 @@ class RunStrategy(StatefulProcessor):
         for r in pd.concat(list(rows)).sort_values(["t", "row_idx"]).itertuples():
             got = machine.step(r.t, r.price, r.signal, None if pd.isna(r.strength) else r.strength, r.confidence)
             if got:
-                out.append({"symbol": key[0], "row_idx": r.row_idx, "timestamp": r.timestamp, "price": r.price} | got)
+                held = got["signal"] != "Exit"
+                out.append({"symbol": key[0], "row_idx": r.row_idx, "timestamp": r.timestamp, "price": r.price, "vwap": r.vwap if held else None, "strength": r.strength if held else None} | got | ({"reason": r.reason} if held else {}))
         self.state.update(tuple(getattr(machine, n) for n in _STATE))
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in EMITTED.split(", ")])
-        yield frame.astype({c: "float64" for c in ("price", "confidence", "size", "pnl", "duration", "standard_pnl")})
+        yield frame.astype({c: "float64" for c in NUMBERS})
 
     def close(self) -> None:
         pass
@@ -97,5 +98,5 @@ def strategy(bars: DataFrame, config: StrategyConfig | None = None) -> DataFrame
     """What the strategy emits for a stream of bars; the batch form gives the same rows."""
     config = config or StrategyConfig()
     rows = sig.incremental_signals(bars, config.signal_thresholds)
-    rows = rows.select("symbol", "row_idx", F.col("timestamp").cast("timestamp").alias("timestamp"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6).alias("t"), "price", "signal", "strength", "confidence")
+    rows = rows.select("symbol", "row_idx", F.col("timestamp").cast("timestamp").alias("timestamp"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6).alias("t"), "price", "signal", "strength", "confidence", "reason", "vwap")
     return rows.groupBy("symbol").transformWithStateInPandas(RunStrategy(config), EMITTED, "Append", "None")
