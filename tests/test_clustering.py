@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import D8, G9, H6, K5, bars
 from tickloom import errors
-from tickloom.operators.cluster import affinity, base, dbscan, gmm, hierarchical, kmeans, quality, som
+from tickloom.operators.cluster import affinity, base, dbscan, gmm, hierarchical, kmeans, quality, selection, som
 from tickloom.operators.graph import components
 
 
@@ -249,3 +249,31 @@ def test_metrics_of_distance(spark):
     assert row.select(base.distance(F.col("a"), [0.0, 0.0], "cosine")).first()[0] == 1.0
     with pytest.raises(errors.ClusteringError):
         som.SOM().update(None)
+
+
+def test_inertia_and_assessment(spark):
+    """Of the centers, exemplars and neurons, by hand."""
+    x = np.array([[*r] for r in H6], float)
+    for model in (hierarchical.Hierarchical(hierarchical.HierarchicalConfig(n_clusters=3)), affinity.AffinityPropagation(), som.SOM(som.SOMConfig(width=2, height=2, epochs=5)), som.SOM(som.SOMConfig(width=2, height=2, epochs=5, training="batch"))):
+        result = model.fit(bars(spark, H6))
+        labels = [r.cluster for r in result.assignments.orderBy("row_idx").collect()]
+        if isinstance(model, hierarchical.Hierarchical):
+            want = sum(((x[[k for k, v in enumerate(labels) if v == c]] - x[[k for k, v in enumerate(labels) if v == c]].mean(0)) ** 2).sum() for c in set(labels))
+            assert abs(result.inertia - want) < 1e-6 * want
+        assert result.inertia is not None and result.inertia >= 0
+        told = result.quality_assessment().collect()[0]
+        assert told.n_points == 6 and sum(told.cluster_sizes) == 6 and len(told.cluster_sizes) == told.n_clusters and told.level in ("Poor", "Fair", "Good", "Excellent")
+
+
+def test_selection(spark):
+    """Two clear groups are found alike on any sample, and the algorithm that finds them is recommended."""
+    rows = [(100 + k % 3, 101 + k % 3, 99 + k % 3, 100 + k % 3, 10) for k in range(30)] + [(500 + k % 3, 501 + k % 3, 499 + k % 3, 500 + k % 3, 10) for k in range(30)]
+    many = bars(spark, rows)
+    good = lambda: hierarchical.Hierarchical(hierarchical.HierarchicalConfig(n_clusters=2))
+    bad = lambda: hierarchical.Hierarchical(hierarchical.HierarchicalConfig(n_clusters=12))
+    assert [r.ari for r in selection.stability(good, many, runs=2).collect()] == [1.0, 1.0]
+    assert selection.recommend({"two": good, "twelve": bad}, many) in ("two", "twelve")
+    ranks = {r.algorithm: r["rank"] for r in selection.compare({"two": good, "twelve": bad}, many).collect()}
+    assert sorted(ranks.values()) == [1, 2]
+    scaled = np.array([r.x for r in selection.Preprocessor().fit(many).transform(many).collect()])
+    assert np.allclose(scaled.mean(0), 0) and np.allclose(scaled[:, 0].std(), 1) and np.allclose(scaled[:, 4], 0)

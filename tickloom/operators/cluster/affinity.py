@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import errors
-from tickloom.operators.cluster.base import ClusterEstimator, ClusterResult, nearest, points, require
+from tickloom.operators.cluster.base import ClusterEstimator, ClusterResult, inertia, nearest_of_symbol, points, require
 from tickloom.operators.cluster.grouped import per_symbol
+from tickloom.plans.chunks import on_keys
+from tickloom.plans.storage import materialise
 
 MAX_POINTS = 2_000
 
@@ -83,7 +85,7 @@ class AffinityPropagation(ClusterEstimator):
 
     def __init__(self, config: AffinityPropagationConfig | None = None) -> None:
         self.config = config or AffinityPropagationConfig()
-        self.exemplars: dict[str, list[list[float]]] = {}
+        self.exemplars: DataFrame | None = None
 
     def validate_config(self) -> None:
         self.config.validate()
@@ -97,16 +99,16 @@ class AffinityPropagation(ClusterEstimator):
             return {"cluster": labels.astype(np.int32), "is_exemplar": np.isin(np.arange(len(x)), exemplars), "iterations": iterations, "converged": converged}
 
         out = per_symbol(bars, c.layout, c.max_points, run, "symbol string, row_idx long, cluster int, is_exemplar boolean, iterations int, converged boolean")
-        found = out.where("is_exemplar").join(points(bars, c.layout), ["symbol", "row_idx"]).orderBy("symbol", "row_idx").select("symbol", "x", "iterations", "converged").collect()
-        self.exemplars = {}
-        for row in found:
-            self.exemplars.setdefault(row.symbol, []).append(list(row.x))
-        return ClusterResult("AffinityPropagation", out, max((len(v) for v in self.exemplars.values()), default=0), [], None, None, max((f.iterations for f in found), default=0), all(f.converged for f in found))
+        out = materialise(out, "affinity")
+        rows = on_keys(points(bars, c.layout), out, ["symbol", "row_idx"])
+        self.exemplars = materialise(rows.where("is_exemplar").select("symbol", "cluster", F.col("x").alias("m")), "exemplars")
+        told = out.agg(F.max("iterations"), F.bool_and("converged")).first()
+        most = self.exemplars.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        return ClusterResult("AffinityPropagation", out, most or 0, [], inertia(rows, self.exemplars), None, told[0] or 0, bool(told[1]))
 
     def predict(self, bars: DataFrame) -> DataFrame:
         """The nearest exemplar of the bar's symbol; in mode "reference" always cluster 0."""
-        label = F.lit(0)
+        rows = points(bars, self.config.layout)
         if self.config.mode == "standard":
-            for symbol, centers in self.exemplars.items():
-                label = F.when(F.col("symbol") == symbol, nearest(F.col("x"), centers)).otherwise(label)
-        return points(bars, self.config.layout).select("symbol", "row_idx", label.cast("int").alias("cluster"))
+            return nearest_of_symbol(rows, self.exemplars)
+        return rows.select("symbol", "row_idx", F.lit(0).alias("cluster"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom import errors
 from tickloom.functions import bars as fb
+from tickloom.plans.chunks import on_keys
 
 LAYOUTS = {"f4": fb.features_f4, "f5": fb.features_f5, "f5k": fb.features_f5k, "f11": fb.features_f11}
 
@@ -44,6 +45,17 @@ class ClusterResult:
         return spark.createDataFrame([(self.algorithm, self.n_clusters, [list(map(float, c)) for c in self.centers], self.inertia, self.silhouette, self.iterations, self.converged, self.metadata)], schema)
 
 
+    def quality_assessment(self) -> DataFrame:
+        """One row: silhouette, n_clusters, n_points, cluster_sizes, converged, level."""
+        from tickloom.operators.cluster import quality
+
+        sizes = quality.cluster_sizes(self.assignments, self.n_clusters)
+        own = {"silhouette": F.lit(self.silhouette).cast("double"), "n_clusters": F.lit(self.n_clusters), "converged": F.lit(self.converged)}
+        out = sizes.agg(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "size"))), lambda x: x["size"]).alias("cluster_sizes")).crossJoin(self.assignments.agg(F.count("*").alias("n_points")))
+        out = out.withColumns(own)
+        return out.select("silhouette", "n_clusters", "n_points", "cluster_sizes", "converged", quality.overall_quality(F.coalesce("silhouette", F.lit(-1.0)), F.col("converged")).alias("level"))
+
+
 class ClusterEstimator(ABC):
     """fit() on bars, then predict() on others."""
 
@@ -100,6 +112,27 @@ def nearest(x: Column, centers: list[list[float]], metric: str = "euclidean") ->
     return (F.array_position(d, F.array_min(d)) - 1).cast("int")
 
 
+def group_means(rows: DataFrame) -> DataFrame:
+    """symbol, cluster, m: the mean of each cluster of each symbol of rows (symbol, cluster, x)."""
+    cells = rows.select("symbol", "cluster", F.posexplode("x").alias("j", "v")).groupBy("symbol", "cluster", "j").agg(F.avg("v").alias("m"))
+    return cells.groupBy("symbol", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda x: x["m"]).alias("m"))
+
+
+def nearest_of_symbol(rows: DataFrame, centers: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """symbol, row_idx, cluster of rows (symbol, row_idx, x): the nearest of the symbol's centers (symbol, cluster, m), the lowest of equals; null for
+    a symbol without any. The centers of a symbol, a few, are one joined row."""
+    gathered = centers.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("cluster", "m"))).alias("centers"))
+    far = lambda d: F.when(F.isnan(d), F.lit(float("inf"))).otherwise(d)
+    ranked = F.transform("centers", lambda c: F.struct(far(pair_distance(F.col("x"), c["m"], metric)).alias("d"), c["cluster"].alias("cluster")))
+    return on_keys(rows, gathered, "symbol", "left").select("symbol", "row_idx", F.array_min(ranked)["cluster"].cast("int").alias("cluster"))
+
+
+def inertia(rows: DataFrame, centers: DataFrame) -> float:
+    """Sum of squared distances of rows (symbol, cluster, x) to the centers (symbol, cluster, m) of their own clusters."""
+    joined = on_keys(rows, centers, ["symbol", "cluster"])
+    return float(joined.agg(F.coalesce(F.sum(F.pow(pair_distance(F.col("x"), F.col("m")), 2)), F.lit(0.0))).first()[0])
+
+
 def center_means(assigned: DataFrame, width: int) -> DataFrame:
     """cluster, n, m (array of means) of rows (cluster, x)."""
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("x", F.lit(k))) for k in range(width)]).alias("m"))

@@ -13,8 +13,9 @@ from tickloom import errors
 from tickloom.operators.cluster.base import points
 
 
-def per_symbol(bars: DataFrame, layout: str, max_points: int, run: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
-    """run gets the points of a symbol in order of row_idx and returns columns: of one value a point, or of one value a symbol.
+def per_symbol(bars: DataFrame, layout: str, max_points: int, run: Callable[[np.ndarray], dict], schema: str, single: bool = False) -> DataFrame:
+    """run gets the points of a symbol in order of row_idx and returns columns: of one value a point, or of one value a symbol; with
+    `single` one row a symbol comes out.
     A symbol with more than max_points points raises before anything runs."""
     rows = points(bars, layout)
     most = rows.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
@@ -26,6 +27,8 @@ def per_symbol(bars: DataFrame, layout: str, max_points: int, run: Callable[[np.
     def group(table: pa.Table) -> pa.Table:
         table = table.sort_by("row_idx")
         x = np.array(table.column("x").to_pylist(), dtype=float)
+        if single:
+            return pa.table({"symbol": table.column("symbol").slice(0, 1)} | {n: pa.array([v]) for n, v in run(x).items()}).cast(target)
         out = {"symbol": table.column("symbol"), "row_idx": table.column("row_idx")}
         for name, value in run(x).items():
             whole = not isinstance(value, np.ndarray)

@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tickloom.operators.cluster.base import ClusterEstimator, ClusterResult, nearest, points, require
+from tickloom.operators.cluster.base import ClusterEstimator, ClusterResult, group_means, inertia, nearest_of_symbol, points, require
 from tickloom.operators.cluster.grouped import matrix, per_symbol
+from tickloom.plans.chunks import on_keys
+from tickloom.plans.storage import materialise
 
 LINKAGES = ("ward", "single", "complete", "average", "centroid")
 METRICS = ("euclidean", "manhattan", "cosine")
@@ -113,7 +114,7 @@ class Hierarchical(ClusterEstimator):
 
     def __init__(self, config: HierarchicalConfig | None = None) -> None:
         self.config = config or HierarchicalConfig()
-        self.centers: dict[str, list[list[float]]] = {}
+        self.centers: DataFrame | None = None
 
     def validate_config(self) -> None:
         self.config.validate()
@@ -127,15 +128,10 @@ class Hierarchical(ClusterEstimator):
             return {"cluster": labels.astype(np.int32)}
 
         out = per_symbol(bars, c.layout, c.max_points, run, "symbol string, row_idx long, cluster int")
-        self._learn(bars, out)
-        return ClusterResult(f"Hierarchical-{c.linkage}", out, c.n_clusters, [], None, None, 1, True)
-
-    def _learn(self, bars: DataFrame, assigned: DataFrame) -> None:
-        rows = points(bars, self.config.layout).join(assigned, ["symbol", "row_idx"])
-        means = rows.groupBy("symbol", "cluster").agg(F.array(*[F.avg(F.get("x", F.lit(j))) for j in range(5)]).alias("m")).orderBy("symbol", "cluster").collect()
-        self.centers = {}
-        for r in means:
-            self.centers.setdefault(r.symbol, []).append(list(r.m))
+        out = materialise(out, "hierarchical")
+        rows = on_keys(points(bars, c.layout), out, ["symbol", "row_idx"])
+        self.centers = materialise(group_means(rows), "centers")
+        return ClusterResult(f"Hierarchical-{c.linkage}", out, c.n_clusters, [], inertia(rows, self.centers), None, 1, True)
 
     def dendrogram(self, bars: DataFrame) -> DataFrame:
         """symbol, step, a, b, distance: positions in the list of clusters when they merged."""
@@ -153,7 +149,4 @@ class Hierarchical(ClusterEstimator):
 
     def predict(self, bars: DataFrame) -> DataFrame:
         """The nearest center of the bar's symbol by the configured metric."""
-        label = F.lit(None).cast("int")
-        for symbol, centers in self.centers.items():
-            label = F.when(F.col("symbol") == symbol, nearest(F.col("x"), centers, self.config.metric)).otherwise(label)
-        return points(bars, self.config.layout).select("symbol", "row_idx", label.alias("cluster"))
+        return nearest_of_symbol(points(bars, self.config.layout), self.centers, self.config.metric)

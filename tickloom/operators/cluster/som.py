@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import errors
-from tickloom.operators.cluster.base import ClusterEstimator, ClusterResult, nearest, points, require
+from tickloom.operators.cluster.base import ClusterEstimator, ClusterResult, inertia, nearest, nearest_of_symbol, points, require
 from tickloom.operators.cluster.grouped import per_symbol
+from tickloom.plans.chunks import on_keys
+from tickloom.plans.storage import materialise
 
 TOPOLOGIES = ("rectangular", "hexagonal")
 MAX_POINTS = 200_000
@@ -76,7 +78,8 @@ class SOM(ClusterEstimator):
 
     def __init__(self, config: SOMConfig | None = None) -> None:
         self.config = config or SOMConfig()
-        self.weights: dict[str | None, list[list[float]]] = {}
+        self.weights: dict[None, list[list[float]]] = {}  # of the one map of batch training
+        self.maps: DataFrame | None = None  # symbol, cluster, m of online training
 
     def validate_config(self) -> None:
         self.config.validate()
@@ -91,10 +94,12 @@ class SOM(ClusterEstimator):
             def run(x: np.ndarray) -> dict:
                 return {"w": train(x, c).ravel().tolist()}
 
-            learnt = per_symbol(bars, c.layout, c.max_points, run, "symbol string, row_idx long, w array<double>")
-            rows = learnt.where("row_idx = 0").select("symbol", "w").collect() or learnt.groupBy("symbol").agg(F.first("w").alias("w")).collect()
-            self.weights = {r.symbol: np.array(r.w).reshape(c.width * c.height, -1).tolist() for r in rows}
-        return ClusterResult("SOM", self.predict(bars), c.width * c.height, [], None, None, c.epochs, c.epochs > 10)
+            learnt = per_symbol(bars, c.layout, c.max_points, run, "symbol string, w array<double>", single=True)
+            self.maps = materialise(learnt.select("symbol", F.posexplode(F.expr(f"transform(sequence(0, {c.width * c.height - 1}), k -> slice(w, k * size(w) div {c.width * c.height} + 1, size(w) div {c.width * c.height}))")).alias("cluster", "m")), "maps")
+        found = self.predict(bars)
+        rows = on_keys(points(bars, c.layout), found, ["symbol", "row_idx"])
+        centers = self.maps if self.maps is not None else rows.select("symbol").distinct().withColumn("cell", F.explode(F.array(*[F.struct(F.lit(k).alias("cluster"), F.array(*[F.lit(float(v)) for v in w]).alias("m")) for k, w in enumerate(self.weights[None])]))).select("symbol", "cell.*")
+        return ClusterResult("SOM", found, c.width * c.height, [], inertia(rows, centers), None, c.epochs, c.epochs > 10)
 
     def _fit_batch(self, rows: DataFrame) -> None:
         """One map for all rows. An epoch sums the rows of each winner; a neuron moves to the mean of all winners' rows, weighted by
@@ -117,16 +122,15 @@ class SOM(ClusterEstimator):
                 n[r.b], sums[r.b] = r.n, [r[f"s{j}"] for j in range(width)]
             mass = h.T @ n
             weights = np.where(mass[:, None] > 0, (h.T @ sums) / np.where(mass > 0, mass, 1)[:, None], weights)
+        rows.unpersist()
         self.weights = {None: weights.tolist()}
 
     def predict(self, bars: DataFrame) -> DataFrame:
         """symbol, row_idx, cluster: the best matching neuron."""
         rows = points(bars, self.config.layout)
-        label = F.lit(None).cast("int")
-        for symbol, weights in self.weights.items():
-            own = nearest(F.col("x"), weights)
-            label = own if symbol is None else F.when(F.col("symbol") == symbol, own).otherwise(label)
-        return rows.select("symbol", "row_idx", label.alias("cluster"))
+        if self.maps is not None:
+            return nearest_of_symbol(rows, self.maps)
+        return rows.select("symbol", "row_idx", nearest(F.col("x"), self.weights[None]).alias("cluster"))
 
     def get_cluster_centers(self) -> list[list[float]] | None:
-        return next(iter(self.weights.values()), None)
+        return self.weights.get(None)
