@@ -218,6 +218,8 @@ z AS (SELECT i AS row_idx, CASE WHEN i % 7 = 1 THEN 'Invalid CSV format: Unable
 SELECT row_idx, error FROM z WHERE error IS NOT NULL""",
         "json_bars": f"{H} SELECT symbol, ts AS timestamp, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(\"close\", 6) AS \"close\", volume FROM b",
         "parquet_bars": f"{H} SELECT symbol, ts - INTERVAL '5 hours 30 minutes' AS timestamp, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(\"close\", 6) AS \"close\", volume FROM b",
+        "kmeans_quality": _kmeans(" SELECT CAST(3 AS INTEGER) AS n_clusters, CAST(sum(n) AS BIGINT) AS n_points, string_agg(CAST(n AS VARCHAR), ',' ORDER BY k) AS sizes FROM (SELECT r.k, count(a3.k) AS n FROM (SELECT unnest(range(3)) k) r LEFT JOIN a3 ON r.k = a3.k GROUP BY r.k)"),
+        "standard_scores": f"{D} SELECT symbol, i AS row_idx, {', '.join(f'round(({c} - (SELECT avg({c}) FROM b)) / (SELECT stddev_pop({c}) FROM b), 6) AS {c}' for c in ('open', 'high', 'low', chr(34) + 'close' + chr(34)))} FROM b",
         "quality_levels": "SELECT (i - 100) / 100 AS silhouette, CASE WHEN i = 180 THEN 'Poor' WHEN (i - 100) / 100 >= 0.7 THEN 'Excellent' WHEN (i - 100) / 100 >= 0.5 THEN 'Good' WHEN (i - 100) / 100 >= 0.25 THEN 'Fair' ELSE 'Poor' END AS level FROM range(201) r(i)",
         "som_assign": f"""{D}, x AS (SELECT symbol, i, open o, high h, low l, "close" c, CAST(volume AS DOUBLE) v FROM b), w(k, o, h, l, c, v) AS (VALUES {', '.join(f"({k}, {', '.join(map(str, m))})" for k, m in enumerate(q.SOM_WEIGHTS))}) SELECT symbol, i AS row_idx, cluster FROM (SELECT x.symbol, x.i, CAST(arg_min(w.k, (sqrt({_square('x', 'w', 'o h l c v')}), w.k)) AS INTEGER) AS cluster FROM x, w GROUP BY x.symbol, x.i)""",
     }

@@ -14,7 +14,7 @@ from tickloom.functions import bars as fb
 from tickloom.operators import analytics, monitor, strategy, validation
 from tickloom.operators import signals as sig
 from tickloom.operators import vwap as vwaps
-from tickloom.operators.cluster import affinity, base, dbscan, gmm, hierarchical, kmeans, quality, som
+from tickloom.operators.cluster import affinity, base, dbscan, gmm, hierarchical, kmeans, quality, selection, som
 from tickloom.plans.chunks import looking_back, number_rows
 from tickloom.plans.storage import shared_dir
 from tickloom.sources.bars import bars_from_events, bars_from_lineitem, read_bars, resample, write_bars
@@ -424,6 +424,24 @@ def kmeans_inertia(spark, d):
     return rounded(spark.createDataFrame([(float(result.inertia), result.n_clusters, result.silhouette)], "inertia double, n_clusters int, silhouette double"), 3)
 
 
+@query
+def kmeans_quality(spark, d):
+    told = _kmeans(spark, d)[2].quality_assessment()
+    return told.select("n_clusters", "n_points", F.array_join(F.col("cluster_sizes").cast("array<string>"), ",").alias("sizes"))
+
+
+@query
+def standard_scores(spark, d):
+    bars = daily(spark, d)
+    x = selection.Preprocessor("f4").fit(bars).transform(bars)
+    return rounded(x.select("symbol", "row_idx", *[F.get("x", F.lit(k)).alias(n) for k, n in enumerate(("open", "high", "low", "close"))]))
+
+
+@query
+def kmeans_stability(spark, d):
+    return rounded(selection.stability(lambda: kmeans.KMeans(kmeans.KMeansConfig(k=3, max_iterations=5, init="first_k")), daily(spark, d), runs=2))
+
+
 @query
 def kmeans_predict(spark, d):
     model, bars, _ = _kmeans(spark, d)
