@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tickloom.llm import decontam
+from tickloom.llm import common, decontam
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -80,4 +80,4 @@ def test_edges(spark, block_bytes):
 
 
 def test_table_of_bits_follows_the_windows():
-    assert decontam.table_bits(0) == 16 and decontam.table_bits(1 << 20) == 25 and decontam.table_bits(1 << 40) == decontam.FILTER_BITS
+    assert common.table_bits(0) == 16 and common.table_bits(1 << 20) == 25 and common.table_bits(1 << 40) == common.TABLE_BITS

@@ -60,3 +60,33 @@ def test_registered():
     assert {"pipeline"} | {n for n in entry.queries() if n.startswith("op")} <= set(entry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")) == list(range(1, 11))
     assert simhash.SEED == 42
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, root string, slot int"
+
+
+def write(spark, folder, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_run_over_odd_rows(spark, tmp_path):
+    """Null ids, texts, languages and sources, repeated rows, one id with two texts and columns named like the operators' own: every distinct good text
+    comes out once or as often as the mix takes it, with its own columns."""
+    good = [" ".join(f"word{k}x{j}" for j in range(30)) + "." for k in range(12)]
+    rows = [(k, t, "en", "s", len(t), f"r{k}", 5) for k, t in enumerate(good[:6])] * 2
+    rows += [(None, good[6], "en", "s", 1, None, None), (None, good[7], None, None, 2, "a", 1), (7, good[8], "en", "t", 3, "b", 2), (7, good[9], "en", "t", 4, "c", 3)]
+    rows += [(20, None, "en", "s", 0, None, None), (21, "", "en", "s", 0, None, None), (22, "short text", "en", "s", 9, None, None)]
+    rows += [(23, good[10] + " the quick brown fox jumps over the lazy dog again and again", "en", "s", 0, None, None)]
+    out = pipeline.run(spark, write(spark, tmp_path, rows)).collect()
+    assert {r.text for r in out} <= set(good[:10]) and len({r.text for r in out}) >= 7
+    assert {(r.doc_id, r.text, r.lang, r.source, r.n_chars, r.root) for r in out} <= {r[:6] for r in rows}
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    assert pipeline.run(spark, write(spark, tmp_path, [])).collect() == []

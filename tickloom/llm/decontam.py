@@ -6,7 +6,7 @@ text and of the benchmark, and looked up in a table of bits sized by the number
 
 A benchmark whose texts take up at most `block_bytes` is broadcast: each worker keeps its window hashes in one sorted array beside its normalised words
 (some four times the texts, whatever the number of windows) and verifies each hit word by word. A larger one stays a table: its
-windows are hashed in Spark, only the bits go to the driver and to the tasks (FILTER_BITS at most), and only the text windows that the bits let pass are joined
+windows are hashed in Spark, only the bits go to the driver and to the tasks (32 MB a size of window at most), and only the text windows that the bits let pass are joined
 with it, by two hashes of 64 bits each. Nothing is sampled or cut.
 """
 
@@ -23,14 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise
+from tickloom.llm.common import bit_table, in_table, materialise, table_bits
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {ord(x): ord(x) + 32 for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-#: Bits of the table at most, as a power of two; bits a window, as long as that allows.
-FILTER_BITS, BITS_A_WINDOW = 28, 16
 
 
 def lower_ascii(text: str) -> str:
@@ -60,14 +58,6 @@ def roll(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def table_bits(windows: int) -> int:
-    return min(FILTER_BITS, max(16, int(windows * BITS_A_WINDOW).bit_length()))
-
-
-def bit_places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-
 class Windows:
     """The windows of (item_id, text) rows: per size the sorted hashes, and for each the item and where its words begin."""
 
@@ -94,7 +84,8 @@ class Windows:
             item = np.concatenate([np.full(len(p), i, np.int32) for _, p, i in rows])[order]
             bits = table_bits(len(hashes))
             table = np.zeros(1 << bits, bool)
-            table[bit_places(hashes, bits)] = True
+            table[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+            table = np.packbits(table, bitorder="little")
             self.by_size[size] = (hashes[order], np.concatenate([p for _, p, _ in rows])[order], item, bits, table)
 
     def scan(self, found: list[str]) -> list[tuple[int, int, set[str]]]:
@@ -106,7 +97,7 @@ class Windows:
                 if len(found) < size:
                     continue
                 rolled = roll(own, size)
-                for at in np.flatnonzero(table[bit_places(rolled, bits)]).tolist():
+                for at in np.flatnonzero(in_table(rolled, bits, table)).tolist():
                     low, high = np.searchsorted(hashes, rolled[at], "left"), np.searchsorted(hashes, rolled[at], "right")
                     if low == high:
                         continue
@@ -153,24 +144,11 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int
     return rows.mapInArrow(scan, "size int, h long, g long, item string").distinct()
 
 
-def _filters(windows: DataFrame) -> dict[int, tuple[int, bytes]]:
-    """Per size: the number of bits, and the table, packed; together 2^FILTER_BITS bits a size at most. Summed up on the executors."""
-    out = {}
-    for size, n in sorted(windows.groupBy("size").agg(F.count("*")).collect()):
-        bits = table_bits(n)
-        place = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits)) + 1
-        parts = windows.where(F.col("size") == size).select(F.call_function("bitmap_bucket_number", place).alias("k"), F.call_function("bitmap_bit_position", place).alias("p"))
-        table = bytearray(max(1 << bits >> 3, 4096))
-        for k, bitmap in parts.groupBy("k").agg(F.call_function("bitmap_construct_agg", F.col("p"))).toLocalIterator():
-            table[(k - 1) * 4096 : k * 4096] = bitmap
-        out[size] = (bits, bytes(table))
-    return out
-
-
 def _large_hits(docs: DataFrame, benchmark: DataFrame, n: int, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_words) of docs (doc_id, text), and (row, at, n, item) of their hits, for a benchmark of any size."""
     windows = materialise(benchmark_windows(benchmark, item_col, item_text_col, n), "windows")
-    shared = docs.sparkSession.sparkContext.broadcast(_filters(windows))
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # up to n of them
+    shared = docs.sparkSession.sparkContext.broadcast({size: bit_table(windows.where(F.col("size") == size), "h") for size in sizes})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {size: (bits, np.frombuffer(raw, np.uint8)) for size, (bits, raw) in shared.value.items()}
@@ -183,8 +161,7 @@ def _large_hits(docs: DataFrame, benchmark: DataFrame, n: int, item_col: str, it
                 for size, (bits, table) in tables.items():
                     if len(found) >= size:
                         h = roll(own, size)
-                        place = bit_places(h, bits)
-                        at = np.flatnonzero(table[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                        at = np.flatnonzero(in_table(h, bits, table))
                         if len(at):
                             g = roll(word_hashes(found, 1), size)
                             rows += [{"size": size, "at": k, "h": x, "g": y} for k, x, y in zip(at.tolist(), h[at].view(np.int64).tolist(), g[at].view(np.int64).tolist(), strict=True)]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise
+from tickloom.llm.common import bit_table, discard, in_table, materialise
 from tickloom.llm.simhash import SEED, anchor_links, fingerprint, hashes, one_of_each, row_key
 from tickloom.operators.graph import components
 
@@ -167,60 +167,77 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose whole sets are similar enough. first: the key of a row for each set."""
+    """The pairs (a, b) of set ids whose whole sets are similar enough, written. first: the key of a row for each set, docs: key (with a hash h) and text."""
     pairs = materialise(pairs, "candidates")
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    wanted = first.join(ends, "set_id", "left_semi").select("first_id")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(first.join(ends, "set_id", "left_semi").select("first_id.h"), "h"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, table = shared.value
+        table = np.frombuffer(table, np.uint8)
         for batch in batches:
-            for text in batch.column(0):  # a row at a time: sets may be long
-                whole = distinct(hashes(text.as_py(), shingle))
+            for k in np.flatnonzero(in_table(batch.column(0).to_numpy(), bits, table)).tolist():  # a row at a time: sets may be long
+                whole = distinct(hashes(batch.column(1)[k].as_py(), shingle))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(whole)], pa.int64()), pa.array([whole], pa.list_(pa.int64()))], ["set_id", "whole"])
 
-    texts = docs.join(wanted, F.col("doc_id") == F.col("first_id"), "left_semi").select("text")
-    whole = materialise(texts.mapInArrow(scan, "set_id long, whole array<long>").dropDuplicates(["set_id"]), "shingles")
-    left, right = whole.toDF("a", "one"), whole.toDF("b", "two")
+    # texts stay where they are: only the sets of rows that the table lets pass are dealt
+    whole = materialise(docs.select("doc_id.h", "text").mapInArrow(scan, "set_id long, whole array<long>").join(ends, "set_id", "left_semi"), "shingles")
+    left, right = (whole.dropDuplicates(["set_id"]).toDF(*names) for names in (("a", "one"), ("b", "two")))
     sides = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("one", "two")))
-    return materialise(sides.where((NUM + DEN) * F.col("both") >= NUM * (F.size("one") + F.size("two"))).select("a", "b"), "similar")
+    out = materialise(sides.where((NUM + DEN) * F.col("both") >= NUM * (F.size("one") + F.size("two"))).select("a", "b"), "similar")
+    discard(pairs, whole)
+    return out
 
 
 def anchored(first: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set ids whose fingerprints are equal, or lie in one part of an anchor's group."""
+    """Pairs (a, b) of set ids whose fingerprints are equal, or lie in one part of an anchor's group; written."""
     fps = materialise(first.groupBy("fp").agg(F.min("set_id").alias("rep")), "distinct-fingerprints")
+    links = materialise(anchor_links(fps), "anchor-links")
     equal = first.join(fps, "fp").where("set_id > rep").select(F.col("rep").alias("a"), F.col("set_id").alias("b"))
-    links = materialise(anchor_links(fps), "anchor-links").distinct()
-    named = links.join(fps.toDF("a", "x"), "a").join(fps.toDF("b", "y"), "b")
-    return equal.union(named.select(F.least("x", "y"), F.greatest("x", "y")).distinct())
+    named = links.distinct().join(fps.toDF("a", "x"), "a").join(fps.toDF("b", "y"), "b")
+    out = materialise(equal.union(named.select(F.least("x", "y"), F.greatest("x", "y")).distinct()), "anchored")
+    discard(fps, links)
+    return out
 
 
-def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
-    member = materialise(components(links), "members").toDF("set_id", "above")
-    return rows.drop("root").join(member, "set_id", "left").withColumn("root", F.coalesce("above", "set_id")).drop("above")
+def roots(links: DataFrame) -> DataFrame:
+    """(set_id, above) of the sets that have links: the smallest that each reaches."""
+    return materialise(components(links), "members").toDF("set_id", "above")
 
 
 def similar_links(first: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Links (a, b) of set ids that connect all sets with a similarity of at least 4/5. first: set_id, fp, n, prefix and first_id, one per set."""
+    """Links (a, b) of set ids that connect all sets with a similarity of at least 4/5, written. first: set_id, fp, n, prefix and first_id, one per set."""
     keys = first.select("set_id", "first_id")
-    links = confirmed(anchored(first), docs, keys, shingle)
-    rooted = materialise(with_roots(first.select("set_id", "n", "prefix"), links), "rooted")
+    near = anchored(first)
+    links = confirmed(near, docs, keys, shingle)
+    member = roots(links)
+    rooted = first.select("set_id", "n", "prefix").join(member, "set_id", "left").select("set_id", "n", F.coalesce("above", "set_id").alias("root"), "prefix")
     spread = rooted.select("set_id", "n", "root", F.explode("prefix").alias("s"))
-    groups = spread.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("set_id", "n", "root")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
-    shared = materialise(spread.join(groups.where("low < high").drop("low", "high"), "s"), "shared-shingles")
+    groups = spread.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"))  # few bytes: every shingle of a prefix is dealt
+    shared = materialise(spread.join(groups.where("low < high").select("s"), "s", "left_semi"), "shared-shingles")
+    least = shared.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("set_id", "n", "root")).alias("least"))
     sizes = F.col("n").cast("long"), F.col("least.n").cast("long")
     alike = NUM * F.greatest(*sizes) <= DEN * F.least(*sizes)
-    stars = shared.where((F.col("root") != F.col("least.root")) & alike).select(F.col("least.set_id").alias("a"), F.col("set_id").alias("b"), needed(*sizes, F.greatest(*sizes)).alias("need"))
+    stars = shared.join(least, "s").where((F.col("root") != F.col("least.root")) & alike).select(F.col("least.set_id").alias("a"), F.col("set_id").alias("b"), needed(*sizes, F.greatest(*sizes)).alias("need"))
     stars = stars.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")  # all of a pair that share their least; the rest is left to the pairs below
-    links = links.union(confirmed(stars, docs, keys, shingle))
-    apart = materialise(with_roots(shared.select("s", "set_id", "n", "members"), links), "apart")
-    return links.union(confirmed(cross_pairs(apart), docs, keys, shingle))
-
-
-def _sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """sets() of docs (doc_id: an orderable value that isn't null, text), and one row (set_id, first_id, root) per distinct set."""
-    found = materialise(sets(docs, shingle), "sets")
-    first = materialise(found.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct-sets")
-    return found, with_roots(first.select("set_id", "first_id"), similar_links(first, docs, shingle))
+    found = confirmed(stars, docs, keys, shingle)
+    member = roots(links.union(found))
+    apart = shared.drop("root").join(member, "set_id", "left").withColumn("root", F.coalesce("above", "set_id")).drop("above")
+    split = apart.groupBy("s").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rest = confirmed(cross_pairs(apart.join(split.select("s", "members"), "s")), docs, keys, shingle)
+    out = materialise(links.union(found).union(rest), "links")
+    discard(near, links, found, rest, shared)
+    return out
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """One row (set_id, first_id, root) per distinct set of docs (doc_id: an orderable value that isn't null, text)."""
+    grouped = sets(docs, shingle).groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    first = materialise(grouped, "distinct-sets")
+    links = similar_links(first, docs, shingle)
+    out = materialise(first.select("set_id", "first_id").join(roots(links), "set_id", "left").select("set_id", "first_id", F.coalesce("above", "set_id").alias("root")), "rooted")
+    discard(first, links)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -230,15 +247,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have equal sets. A null doc_id counts as larger than any other. Texts of rows that repeat a doc_id may
     differ: each row stands for itself. An empty table gives an empty result; columns may have any names.
     """
-    found, rooted = _sets(docs.select(row_key(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle)
+    keyed = docs.select(row_key(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rooted = _sets(keyed, shingle)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
     named = rooted.select("set_id", "root").join(smallest, "root").select("set_id", F.col("least.doc_id").alias("component_id"))
-    return found.select("doc_id.doc_id", "set_id").join(named, "set_id").select("doc_id", "component_id")
+    return sets(keyed, shingle).select("doc_id.doc_id", "set_id").join(named, "set_id").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of docs of which one stays for each group of near duplicates: the one with the smallest id, null ids last, and of
     rows that share it the one with the smallest hash. Ids may be null or repeated: rows are told apart by all their columns. All
     columns come back as they were."""
-    _, rooted = _sets(docs.select(row_key(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle)
+    rooted = _sets(docs.select(row_key(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle)
     return one_of_each(docs, rooted.groupBy("root").agg(F.min("first_id").alias("key")), id_col)

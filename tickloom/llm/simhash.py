@@ -185,6 +185,10 @@ def anchor_links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            size = np.diff(np.append(start, len(anchor)))
+            met = np.repeat((size > 1) & np.logical_or.reduceat(home, start), size)  # most groups have one member, or none at home
+            anchor, fp, home = anchor[met], fp[met], home[met]
             cut = np.flatnonzero(np.diff(anchor)) + 1
             found = [forest(f, h, threshold) for f, h in zip(np.split(fp, cut), np.split(home, cut), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
