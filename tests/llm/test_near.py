@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from tickloom.llm import near
@@ -94,3 +95,60 @@ def test_a_shingle_of_many_sets_is_dealt_in_blocks(spark, monkeypatch, block):
     rows = [(k, " ".join([f"o{k}x{j}" for j in range(rnd.randint(3, 9))] + passage)) for k in range(80)] + [(100 + k, " ".join(passage + [f"e{k}"])) for k in range(30)]
     got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == slow(rows)
+
+
+def test_a_shingle_of_many_sets_hands_on_few_pairs(spark, monkeypatch):
+    """Texts with one common passage, most of them not similar, and some copies: before, each two of them were a row (some 80,000)."""
+    monkeypatch.setattr(near, "OFTEN", 10**9)
+    rnd = random.Random(2)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join([f"o{k}x{j}" for j in range(12)] + passage)) for k in range(400)]
+    for k in range(40):
+        words = rows[rnd.randrange(400)][1].split()
+        rows.append((1000 + k, " ".join(words[: -rnd.randint(1, 6)] + [f"e{k}"])))
+    made = []
+
+    def counted(df, scan, schema, plain=type(spark.range(1)).mapInArrow):
+        total = spark.sparkContext.accumulator(0)
+        made.append((schema, total))
+
+        def wrapped(batches):
+            for batch in scan(batches):
+                total.add(batch.num_rows)
+                yield batch
+
+        return plain(df, wrapped, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", counted)
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == slow(rows) and 300 < len(set(got.values())) < 440
+    assert 0 < sum(total.value for schema, total in made if schema.startswith("a long, b long")) < 32 * len(rows)
+
+
+@pytest.mark.parametrize("rounds, cells", [(0, 1 << 18), (6, 64)])
+def test_sketches_lose_no_pair(spark, monkeypatch, rounds, cells):
+    """Sets of many sizes that meet by sketches only, of equal length or folded, with and without the rounds of closest pairs."""
+    for name, value in {"OFTEN": 10**9, "LIGHT": 1, "WORDS": 1, "BLOCK": 20, "ROUNDS": rounds, "CELLS": cells}.items():
+        monkeypatch.setattr(near, name, value, raising=False)
+    rnd = random.Random(5)
+    base = [[f"w{b}x{rnd.randrange(3000)}" for _ in range(n)] for b, n in enumerate((12, 30, 90, 300))]
+    rows = []
+    for k in range(160):
+        words = list(base[k % 4])
+        for _ in range(rnd.randint(0, 1 + len(words) // 30)):
+            words[rnd.randrange(len(words))] = f"v{rnd.randrange(9)}"
+        rows.append((k, " ".join(words[: len(words) - rnd.randint(0, len(words) // 6)])))
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == slow(rows) and 4 < len(set(got.values())) < 160
+
+
+def test_sketches_differ_in_no_more_than_their_sets():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 287, 288, 350, 5000):
+        one = np.unique(rnd.integers(-(2**63), 2**63 - 1, n))
+        two = np.unique(np.concatenate([one[: n - n // 10], rnd.integers(-(2**63), 2**63 - 1, n // 12)]))
+        a, b = (np.frombuffer(near.sketch(x), np.uint64) for x in (one, two))
+        while len(a) != len(b):
+            a, b = (x if len(x) == min(len(a), len(b)) else np.bitwise_xor(*x.reshape(2, -1)) for x in (a, b))
+        apart, really = int(np.bitwise_count(a ^ b).sum()), len(np.setxor1d(one, two))
+        assert 0.9 * really - 2 <= apart <= really

@@ -5,16 +5,21 @@ ten bits on average, beyond what an anchor covering can reach, so links are foun
 
 1. Anchors: fingerprints within 4 bits, by simhash.anchor_links. This joins exact and nearly exact copies, however many there are.
 2. Stars: texts of different components that share a rare shingle are held against the smallest of those that share it.
-3. Pairs of different components that share enough rare shingles to be similar.
+3. Of the shingles that many sets share, the sets are compared where they meet, by sketches; each component hands on its closest pair, until no
+   such pair is similar any more.
+4. All pairs of different components that are left: by sketches where they share a shingle of many sets, by the number of rare shingles they share elsewhere.
 
-Rounds 2 and 3 are a prefix-filtered set similarity join. All sets are ordered alike, rare shingles first. Two sets with a similarity of at
+Rounds 2 to 4 are a prefix-filtered set similarity join. All sets are ordered alike, rare shingles first. Two sets with a similarity of at
 least 4/5 share at least ceil(4/5 n) of the n shingles of either, so they share one among the first n - ceil(4/5 n) + 1 of each: only these
 prefixes are dealt, and no pair is lost. Shingles that a sample of the texts has often come last, by their count, so that wording that many
 texts have hardly stands in prefixes; the order changes the work, never the result.
 
-A pair is a candidate if it shares enough of its prefixes: behind the prefix that ends first at most ceil(4/5 n) - 1 shingles are left, and 4/9
-of both sizes together must be shared. The sets that share a shingle and stand in different components are compared in blocks: a shingle with
-very many sets is dealt as pairs of blocks, so no task holds more than two blocks of them.
+A shingle of few sets hands on each pair, and a pair is a candidate if it shares enough of its prefixes: behind the prefix that ends first at most
+ceil(4/5 n) - 1 shingles are left, and 4/9 of both sizes together must be shared. A shingle of many sets would hand on the square of their number. There
+each set brings a sketch: for each place of a hash table whether an odd number of its shingles fall there. Two sketches differ in no more
+places than their sets in shingles, and two sets are similar if they differ in at most a ninth of both sizes together, so pairs whose sketches differ in more
+aren't similar and none that is similar is left out. In round 3 a place hands on at most one pair a component. By round 4 what passes is
+little: pairs that just miss the similarity. A shingle with very many sets is dealt as pairs of blocks, so no task holds more than two blocks of them.
 """
 
 from __future__ import annotations
@@ -35,8 +40,10 @@ from tickloom.operators.graph import components
 NUM, DEN = 4, 5
 #: One text in so many is looked at for frequent shingles; so often a shingle must occur there; so many are kept at most.
 SAMPLE, OFTEN, FREQUENT = 16, 8, 1_000_000
-#: Comparisons that a task holds at once, and sets of a shingle in a block.
+#: Comparisons that a task holds at once, and sets of a shingle in a block (fewer, if they are long).
 CELLS, BLOCK = 1 << 18, 1 << 13
+#: A shingle with so many sets at most hands on all their pairs; so many words of 64 bits has a sketch at least; so often round 3 is repeated at most.
+LIGHT, WORDS, ROUNDS = 64, 16, 6
 
 
 def distinct(rows: np.ndarray) -> np.ndarray:
@@ -97,35 +104,73 @@ def needed(n1, n2, larger):
     return (both - both % (NUM + DEN)) / (NUM + DEN) - (behind - behind % DEN) / DEN + 1
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (s, set_id, n, root, members: sets with s) that stand in different components and share enough of s to be similar.
+def sketch_words(n: int) -> int:
+    """Words of 64 bits of the sketch of a set of n: 16 or more places for each shingle that similar sets may differ in. Similar sets have as many words, or one twice as many."""
+    return max(WORDS, 1 << (n // 18).bit_length())
+
+
+def sketch(whole: np.ndarray) -> bytes:
+    """Bits that are set where an odd number of the hashes fall; the exclusive or of its halves is the sketch of half its length."""
+    places = 64 * sketch_words(len(whole))
+    odd = np.bincount((whole.view(np.uint64) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """The other columns of each group of rows with the same first column, by which the rows are sorted; some groups at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def split(s: np.ndarray, *columns: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        cut = np.flatnonzero(np.diff(s)) + 1
+        return list(zip(*(np.split(c, cut) for c in columns), strict=True))
+
+    for batch in batches:  # all but the last group of a batch are whole
+        if not batch.num_rows:
+            continue
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        if held[0][0][0] == held[-1][0][-1]:
+            continue
+        whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        last = int(np.searchsorted(whole[0], whole[0][-1]))
+        yield split(*(c[:last] for c in whole))
+        held = [tuple(c[last:] for c in whole)]
+    if held:
+        yield split(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    The sets of a shingle fall into blocks by hash; a set goes to every pair of blocks with its own."""
 
-    def group(ids: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[np.ndarray]:
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (s, set_id, n, root) that stand in different components and share enough of s to be similar. Each group of s hands on
+    all its pairs of sizes that can be similar, so that s should have few sets."""
+
+    def group(ids: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
         if (root == root[0]).all():
             return
         order = np.argsort(n, kind="stable")
-        ids, n, root, side = ids[order], n[order].astype(np.int64), root[order], side[order]
+        ids, n, root = ids[order], n[order].astype(np.int64), root[order]
         upto = np.searchsorted(NUM * n, DEN * n, side="right")  # sizes up to n / similarity
         at = 0
         while at < len(ids) - 1:
             step = max(1, min(len(ids) - at, CELLS // max(1, int(upto[at]) - at)))
             end = int(upto[min(at + step, len(ids)) - 1])
             one, two = slice(at, at + step), slice(at, end)
-            fits = (NUM * n[two][None, :] <= DEN * n[one][:, None]) & (root[one][:, None] != root[two][None, :]) & ((side[one][:, None] != side[two][None, :]) | (side[one][:, None] == 2))
+            fits = (NUM * n[two][None, :] <= DEN * n[one][:, None]) & (root[one][:, None] != root[two][None, :])
             i, j = np.nonzero(np.triu(fits, 1))
             if len(i):
                 yield np.stack([np.minimum(ids[one][i], ids[two][j]), np.maximum(ids[one][i], ids[two][j]), needed(n[one][i], n[two][j], n[two][j]).astype(np.int64)])
             at += step
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
+            a, b, need = np.concatenate(parts, axis=1)
+            order = np.lexsort((b, a))
+            a, b, need = a[order], b[order], need[order]
+            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            count = np.diff(np.append(starts, len(a)))
+            return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(b[starts]), pa.array(need[starts]), pa.array(count)], ["a", "b", "need", "n"])
 
-        def found(s: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(s)) + 1
+        for parts in whole_groups(batches):
             ready, size = [], 0
-            for part in zip(*(np.split(c, cut) for c in columns), strict=True):
+            for part in parts:
                 for pairs in group(*part):
                     ready.append(pairs)
                     size += pairs.shape[1]
@@ -135,42 +180,82 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
             if ready:
                 yield batch_of(ready)
 
-        def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
-            a, b, need = np.concatenate(parts, axis=1)
-            order = np.lexsort((b, a))
-            a, b, need = a[order], b[order], need[order]
-            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            count = np.diff(np.append(starts, len(a)))
-            return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(b[starts]), pa.array(need[starts]), pa.array(count)], ["a", "b", "need", "n"])
+    dealt = rows.select("s", "set_id", "n", "root").repartition("s").sortWithinPartitions("s")
+    found = dealt.mapInArrow(compare, "a long, b long, need long, n long").groupBy("a", "b", "need").agg(F.sum("n").alias("n"))
+    return found.where("n >= need").select("a", "b")
+
+
+def passing(ids: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of a group's rows, by number, of different components and sides (2: of any) whose sketches differ in no more than similar sets may, and how much less."""
+    order = np.argsort(n, kind="stable")
+    n, root, side, sketches = n[order].astype(np.int64), root[order], side[order], sketches[order]
+    upto = np.searchsorted(NUM * n, DEN * n, side="right")
+    words = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+    for w in np.unique(words).tolist():
+        first, mid, last = (int(np.searchsorted(words, x, side=end)) for x, end in ((w, "left"), (w, "right"), (2 * w, "right")))
+        longer = np.frombuffer(b"".join(sketches[mid:last]), np.uint64).reshape(-1, 2, w)
+        bits = np.concatenate([np.frombuffer(b"".join(sketches[first:mid]), np.uint64).reshape(-1, w), longer[:, 0] ^ longer[:, 1]])
+        at = first
+        while at < mid:
+            step = max(1, min(mid - at, CELLS // max(1, int(upto[at]) - at)))
+            one, two = slice(at, at + step), slice(at, int(upto[at + step - 1]))
+            fits = (NUM * n[two][None, :] <= DEN * n[one][:, None]) & (root[one][:, None] != root[two][None, :]) & ((side[one][:, None] != side[two][None, :]) | (side[one][:, None] == 2))
+            i, j = np.nonzero(np.triu(fits, 1))
+            few = max(1, CELLS // w)
+            for k in range(0, len(i), few):
+                x, y = i[k : k + few] + at, j[k : k + few] + at
+                spare = (DEN - NUM) * (n[x] + n[y]) // (DEN + NUM) - np.bitwise_count(bits[x - first] ^ bits[y - first]).sum(1, np.int64)
+                if (kept := spare >= 0).any():
+                    yield order[x[kept]], order[y[kept]], spare[kept]
+            at += step
+
+
+def closest(root: np.ndarray, found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the pairs found of rows of these components, for each component the one with most to spare."""
+    names, at = np.unique(root, return_inverse=True)
+    best = np.full((3, len(names)), -1, np.int64)
+    for i, j, spare in found:
+        r, i, j, spare = np.concatenate([at[i], at[j]]), np.tile(i, 2), np.tile(j, 2), np.tile(spare, 2)
+        order = np.lexsort((-spare, r))
+        order = order[np.concatenate([[True], np.diff(r[order]) > 0])]
+        order = order[spare[order] > best[2, r[order]]]
+        best[:, r[order]] = i[order], j[order], spare[order]
+    i, j, spare = np.unique(best[:, best[2] >= 0], axis=1)
+    yield i, j, spare
+
+
+def block_pairs(rows: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) of rows (s, set_id, n, root, blocks) that share s, stand in different components and may be similar by their sketches (set_id,
+    sketch): every such pair, or of each component the closest ones, one a place.
+
+    The sets of a shingle fall into blocks by hash; a set goes to every pair of blocks with its own."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in whole_groups(batches):
+            for part in parts:
+                ids, _, root, *_ = part
+                if (root == root[0]).all():
+                    continue
+                found = passing(*part)
+                for i, j, _ in found if every else closest(root, found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
-        for batch in batches:  # sorted by s: all but the last group of a batch are whole
-            if not batch.num_rows:
-                continue
-            held.append(tuple(c.to_numpy() for c in batch.columns))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue
-            whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            last = int(np.searchsorted(whole[0], whole[0][-1]))
-            yield from found(*(c[:last] for c in whole))
-            held = [tuple(c[last:] for c in whole)]
-        if held:
-            yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    blocks = F.ceil(F.col("members") / BLOCK)
     own = F.pmod(F.col("set_id"), F.col("blocks"))
-    spread = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = rows.join(sketches, "set_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     place = F.when(F.col("blocks") == 1, F.col("s")).otherwise(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = spread.select(place.alias("s"), "set_id", "n", "root", side.alias("side")).repartition("s").sortWithinPartitions("s")
-    found = dealt.mapInArrow(compare, "a long, b long, need long, n long").groupBy("a", "b", "need").agg(F.sum("n").alias("n"))
-    return found.where("n >= need").select("a", "b")
+    dealt = spread.select(place.alias("s"), "set_id", "n", "root", side.alias("side"), "sketch").repartition("s").sortWithinPartitions("s")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose whole sets are similar enough, written. first: the key of a row for each set, docs: key (with a hash h) and text."""
-    pairs = materialise(pairs, "candidates")
-    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(first.join(ends, "set_id", "left_semi").select("first_id.h"), "h"))
+def ends(pairs: DataFrame) -> DataFrame:
+    """The set ids (set_id) of pairs (a, b), none twice."""
+    return pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+
+
+def whole_sets(some: DataFrame, docs: DataFrame, first: DataFrame, shingle: int) -> DataFrame:
+    """The whole sets (set_id, whole) of some ids (set_id, none twice), written. first: the key of a row for each set, docs: key (with a hash h) and text."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(first.join(some, "set_id", "left_semi").select("first_id.h"), "h"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, table = shared.value
@@ -181,10 +266,32 @@ def confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int)
                 yield pa.RecordBatch.from_arrays([pa.array([digest(whole)], pa.int64()), pa.array([whole], pa.list_(pa.int64()))], ["set_id", "whole"])
 
     # texts stay where they are: only the sets of rows that the table lets pass are dealt
-    whole = materialise(docs.select("doc_id.h", "text").mapInArrow(scan, "set_id long, whole array<long>").join(ends, "set_id", "left_semi"), "shingles")
+    return materialise(docs.select("doc_id.h", "text").mapInArrow(scan, "set_id long, whole array<long>").join(some, "set_id", "left_semi"), "shingles")
+
+
+def sketched(whole: DataFrame) -> DataFrame:
+    """The sketches (set_id, sketch) of whole sets, one a set, written."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(np.array(batch.column(1)[k].values, np.int64)) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["set_id", "sketch"])
+
+    return materialise(whole.mapInArrow(scan, "set_id long, sketch binary").dropDuplicates(["set_id"]), "sketches")
+
+
+def similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids that are similar enough by their whole sets, written."""
     left, right = (whole.dropDuplicates(["set_id"]).toDF(*names) for names in (("a", "one"), ("b", "two")))
     sides = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("one", "two")))
-    out = materialise(sides.where((NUM + DEN) * F.col("both") >= NUM * (F.size("one") + F.size("two"))).select("a", "b"), "similar")
+    return materialise(sides.where((NUM + DEN) * F.col("both") >= NUM * (F.size("one") + F.size("two"))).select("a", "b"), "similar")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose whole sets are similar enough, written. first and docs as for whole_sets."""
+    pairs = materialise(pairs, "candidates")
+    whole = whole_sets(ends(pairs), docs, first, shingle)
+    out = similar(pairs, whole)
     discard(pairs, whole)
     return out
 
@@ -221,12 +328,34 @@ def similar_links(first: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     stars = shared.join(least, "s").where((F.col("root") != F.col("least.root")) & alike).select(F.col("least.set_id").alias("a"), F.col("set_id").alias("b"), needed(*sizes, F.greatest(*sizes)).alias("need"))
     stars = stars.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")  # all of a pair that share their least; the rest is left to the pairs below
     found = confirmed(stars, docs, keys, shingle)
-    member = roots(links.union(found))
-    apart = shared.drop("root").join(member, "set_id", "left").withColumn("root", F.coalesce("above", "set_id")).drop("above")
-    split = apart.groupBy("s").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rest = confirmed(cross_pairs(apart.join(split.select("s", "members"), "s")), docs, keys, shingle)
-    out = materialise(links.union(found).union(rest), "links")
-    discard(near, links, found, rest, shared)
+    links = links.union(found)
+    spent = [near, found, shared]
+
+    def apart() -> DataFrame:
+        """What the sets that stand in different components by now still share: s, set_id, n, root, members, blocks."""
+        now = shared.drop("root").join(roots(links), "set_id", "left").withColumn("root", F.coalesce("above", "set_id")).drop("above")
+        length = F.sum(F.greatest(F.lit(float(WORDS)), F.col("n") / 9))  # words of all sketches, and some more
+        split = now.groupBy("s").agg(F.count("*").alias("members"), F.ceil(length / (WORDS * BLOCK)).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
+        return materialise(now.join(split.where("low < high").drop("low", "high"), "s"), "apart")
+
+    rows = apart()
+    heavy = F.col("members") > LIGHT
+    crowded = materialise(rows.where(heavy).select("set_id").distinct(), "crowded")
+    whole = whole_sets(crowded, docs, keys, shingle)
+    sketches = sketched(whole)
+    spent += [crowded, whole, sketches]
+    for _ in range(ROUNDS):
+        pairs = materialise(block_pairs(rows.where(heavy), sketches, every=False), "closest")
+        found = similar(pairs, whole.join(ends(pairs), "set_id", "left_semi"))
+        spent += [pairs, found]
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        discard(rows)
+        rows = apart()
+    rest = confirmed(cross_pairs(rows.where(~heavy)).union(block_pairs(rows.where(heavy), sketches, every=True)).distinct(), docs, keys, shingle)
+    out = materialise(links.union(rest), "links")
+    discard(*spent, rows, rest)
     return out
 
 
