@@ -223,9 +223,11 @@ def time_statistics(bars: DataFrame) -> DataFrame:
     return out
 
 
-def statistics(bars: DataFrame) -> DataFrame:
-    """One row per symbol: total, valid and invalid points, and the three statistics as structs."""
-    counts = bars.groupBy("symbol").agg(F.count("*").alias("total_points"), F.count_if(bar_error().isNull()).alias("valid_points"), F.count_if(bar_error().isNotNull()).alias("invalid_points"))
+def statistics(bars: DataFrame, mode: str = "standard") -> DataFrame:
+    """One row per symbol: total, valid and invalid points, and the three statistics as structs. In mode "standard" bars that break a bar's logic
+    are invalid; in "reference" all points count as valid, as the original has it."""
+    good = bar_error().isNull() if mode == "standard" else F.lit(True)
+    counts = bars.groupBy("symbol").agg(F.count("*").alias("total_points"), F.count_if(good).alias("valid_points"), F.count_if(~good).alias("invalid_points"))
     for name, part in (("prices", price_statistics(bars)), ("volumes", volume_statistics(bars)), ("times", time_statistics(bars))):
         counts = on_keys(counts, part.select("symbol", F.struct(*[c for c in part.columns if c != "symbol"]).alias(name)), "symbol")
     return counts
